@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, simhash, substring
+from tidegrid.llm import bpe, decontam, lm, simhash, substring
 
 #: Where rank files of public tokenizers are looked for.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int):
+    """The rows that no label or count is learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trie = lm.train(docs.where(~_held_out(7)))
+    out = lm.score(docs, trie).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -40,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
     "op8_substring": op8_substring,

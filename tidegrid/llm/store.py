@@ -36,17 +36,13 @@ def drop(df: DataFrame) -> None:
     """Removes a table made by cut() that nothing reads any more."""
     path = getattr(df, "_tidegrid_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        remove(df.sparkSession, path)
 
 
-def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes one file through Hadoop's file systems, so that any shared store will do."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared store."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
-    out.write(data)
-    out.close()
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def id_filter(ids: DataFrame, col: str, bits: int = 1 << 20) -> Column:
