@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from tidegrid.llm.tokens import mix, split_words
 #: words, so that a changed word falls on an ignored position of one of them.
 MASKS = ("111111", "110100111", "11100010011", "1010010001111")
 
+#: A word, as split_words(alnum=True) has it.
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,7 +27,7 @@ def _seed_rows(masks: tuple[str, ...], table: np.ndarray | None):
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            for w in split_words(b.column(1), lower=True):
+            for w in split_words(b.column(1), lower=False, alnum=True):
                 h, row = w.hashes(), w.row_of_word()
                 for k, mask in enumerate(masks):
                     n = len(h) - len(mask) + 1
@@ -88,7 +92,7 @@ def _verify(min_words: int, share: float):
         for b in batches:
             out = []
             for id_, item, shifts, text, probe in zip(*(b.column(k).to_pylist() for k in range(5))):
-                w, p = (text or b"").lower().split(), (probe or b"").lower().split()
+                w, p = _WORDS.findall(text), _WORDS.findall(probe)
                 top = (0, 0, 0, 0)
                 for s in shifts:
                     lo, hi = max(0, -s), min(len(p), len(w) - s)
@@ -112,7 +116,7 @@ def overlaps(
     """(id, item, begin, stop, n_equal, item_words): texts that hold a passage of a probe, and the longest such passage.
 
     A passage is an aligned stretch of ``min_words`` words (the whole probe if shorter) or more of which ``share`` or more
-    are equal; words are runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased. Empty and null texts and probes
+    are equal; words are runs of letters and digits (of any alphabet) in lower case. Empty and null texts and probes
     match nothing; rows with a null id are dropped; repeated ids count as one text each. Probes of fewer words
     than the shortest mask cannot be found.
 
@@ -120,8 +124,8 @@ def overlaps(
     of 2 MB (its size does not depend on the probes) drops most training hashes where they arise; the rest
     join the probes' hashes by an ordinary equi-join, and what meets is verified word by word on the texts.
     """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    p = probes.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(probe_col).cast("binary").alias("text"))
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.lower(text_col), F.lit("")).cast("binary").alias("text"))
+    p = probes.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.coalesce(F.lower(probe_col), F.lit("")).cast("binary").alias("text"))
     seeds = _seeds(p, masks)
     table = slot_table(seeds)
     keys = seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("from")).distinct()

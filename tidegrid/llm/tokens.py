@@ -20,6 +20,8 @@ _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: For comparing text of other origins: any non-ASCII byte counts as a letter, ASCII punctuation separates.
+_ALNUM = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,8 +85,11 @@ def binary_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def split_words(col: pa.Array, lower: bool, step: int = STEP_BYTES) -> Iterator[Words]:
-    """The words of all rows of a column, in groups of rows of about ``step`` bytes; a longer row is a group of its own."""
+def split_words(col: pa.Array, lower: bool, step: int = STEP_BYTES, alnum: bool = False) -> Iterator[Words]:
+    """The words of all rows of a column, in groups of rows of about ``step`` bytes; a longer row is a group of its own.
+
+    With ``alnum`` words are runs of ASCII letters, digits and bytes above 127 instead.
+    """
     raw, off = binary_buffer(col)
     i, n = 0, len(off) - 1
     while i < n:
@@ -92,7 +97,7 @@ def split_words(col: pa.Array, lower: bool, step: int = STEP_BYTES) -> Iterator[
         data, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
         if lower:
             data = _LOWER[data]
-        word = _WORD[data]
+        word = (_ALNUM if alnum else _WORD)[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[o] = True
         before = np.zeros(len(data), bool)
