@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, lm, simhash, substring
+from tidegrid.llm import bpe, decontam, kdshard, lm, packing, semdedup, simhash, substring, toxicity
 
 #: Where rank files of public tokenizers are looked for.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,18 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, public.path(VOCABULARY), public.PATTERN, end_id=50256, length=2048, matrices=False)
+
+
+def op4_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kdshard.shard(_table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"], shards=16)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -41,11 +53,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95).withColumnRenamed("id", "vec_id")
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.drop_repeats(_table(spark, sf_dir, "documents"), window=50, texts=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~_held_out(4))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
@@ -53,9 +76,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op3_packing": op3_packing,
+    "op4_kdtree_sharding": op4_kdtree_sharding,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_substring": op8_substring,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 
