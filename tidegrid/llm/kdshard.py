@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegrid.llm.store import cut
+from tidegrid.llm.store import cut, drop
 
 #: Buckets of one pass over a node's keys; bounds what a pass sends to the driver.
 _BUCKETS = 4096
@@ -82,7 +82,7 @@ def shard(docs: DataFrame, dims: list[str], shards: int | None = None, target_by
     hash of id and text, so a value that most rows share is split like any other; rows equal in both stay together.
     Null or NaN in a dimension counts as its least value; null ids are ordinary ids. An empty table gives no rows.
 
-    Sizes and coordinates are written once, without the texts; each pass aggregates over that table. The driver sees
+    Sizes and coordinates are written without the texts, once and again after each level; passes aggregate over that table. The driver sees
     sums only: a bounded number for each node.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -91,7 +91,7 @@ def shard(docs: DataFrame, dims: list[str], shards: int | None = None, target_by
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
         *[c.alias(f"c{i}") for i, c in enumerate(coords.values())], F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 32)).alias("tie"),
     )
-    rows = cut(base, "sizes").withColumn("node", F.lit(0).cast("long"))
+    rows = table = cut(base.withColumn("node", F.lit(0).cast("long")), "sizes")
     level = 0
     while True:
         widths = [F.max(f"c{i}") - F.min(f"c{i}") for i in range(len(dims))]
@@ -115,8 +115,9 @@ def shard(docs: DataFrame, dims: list[str], shards: int | None = None, target_by
         node = F.when(F.col("at").isNull(), F.col("node") * 2).otherwise(F.col("node") * 2 + (F.col("key") > F.col("at")).cast("long"))
         rows = split.withColumn("node", node).drop("at", "key")
         level += 1
-        if level % 4 == 0:
-            rows = cut(rows, "nodes")
+        before, table = table, cut(rows, "nodes")  # nested conditions of all levels in one plan would grow as their product
+        drop(before)
+        rows = table
     return _slots(rows)
 
 
