@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontam, kdshard, lm, packing, semdedup, simhash, substring, toxicity
+from tidegrid.llm import bpe, decontam, kdshard, lm, packing, secrets, semdedup, simhash, substring, toxicity
 
 #: Where rank files of public tokenizers are looked for.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -76,6 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_kdtree_sharding": op4_kdtree_sharding,
     "op5_bpe": op5_bpe,
