@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,20 +46,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def linked(fps: DataFrame, bits: int = 64, segments: int = 2) -> DataFrame:
-    """(u, v): enough links between distinct fingerprints (column fp) at 2 or fewer differing bits to connect all that are.
+def _alike(fps: DataFrame, bits: int, segments: int) -> DataFrame:
+    """The fingerprints that share all but two of ``segments`` segments with another: none at distance 2 or less is missing.
 
-    Multi-index hashing with ``segments`` segments: each segment has a table, and every fingerprint is entered under all
-    members of the Hamming ball of radius 1 around its value in that segment, beside the other segments' values. Two
-    fingerprints at distance 2 or less always meet: if they differ in one segment only, at a value half-way between theirs
-    in its table; if in two, where one's flipped segment equals the other's own. A table keyed by the segment
-    alone would put thousands of near copies into one bucket and force all their pairs; under these keys a bucket
-    holds at most bits + 1 fingerprints, and one link from each to the bucket's smallest connects it. Each fetched
-    match is verified by its whole distance.
+    One table for each choice of two segments to leave out; its key is the rest of the fingerprint.
+    """
+    edges = [bits * k // segments for k in range(segments + 1)]
+    field = lambda k: (1 << edges[k + 1]) - (1 << edges[k])
+    signed = lambda x: x - (1 << bits) if bits == 64 and x >> 63 else x
+    keys = [F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(((1 << bits) - 1) & ~field(i) & ~field(j)))).alias("rest")) for n, (i, j) in enumerate(itertools.combinations(range(segments), 2))]
+    rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.table", "k.rest")
+    full = rows.groupBy("table", "rest").agg(F.count("*").alias("n")).where("n > 1").select("table", "rest")
+    return rows.join(full, ["table", "rest"]).select("fp").distinct()
+
+
+def linked(fps: DataFrame, n: int, bits: int = 64) -> DataFrame:
+    """(u, v): enough links between ``n`` distinct fingerprints (column fp) at 2 or fewer differing bits to connect all that are.
+
+    Multi-index hashing in two steps. Tables over parts of the fingerprint (see _alike; more segments for more
+    fingerprints, so that a key keeps a few bits above log2 n) drop those that have no neighbour. Each of the others is
+    entered under all members of the Hamming ball of radius 1 around each half, beside its other half, and two at
+    distance 2 or less always meet: halfway between them if they differ in one half, else where one's flipped half is the
+    other's own. Under these keys a bucket holds at most bits + 1 fingerprints whatever the number of near copies,
+    and a link from each to the bucket's smallest connects it. Each fetched match is verified by its whole distance.
     """
-    width = bits // segments
-    balls = [F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << (s * width + k) if s * width + k < 63 else -(1 << 63))) for k in range(width)]) for s in range(segments)]
-    probes = fps.select("fp", F.explode(F.concat(F.array("fp"), *balls)).alias("key"))
+    parts = 4 if n < 1 << 28 else 6 if n < 1 << 38 else 8
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = cut(_alike(fps, bits, parts), "alike").repartition(tasks, "fp")
+    flips = [F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(bits)]
+    probes = near.select("fp", F.explode(F.array("fp", *flips)).alias("key"))
     least = probes.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("w"), F.count("*").alias("n")).where("n > 1")
     # Two members need no second look at the table; only fuller buckets fetch their members again.
     two = least.where("n = 2").select(F.col("w").alias("u"), "v")
@@ -73,10 +90,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     with a null id are dropped, repeated ids come back as often as they came.
     """
     fps = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(linked(nodes.select("fp")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(linked(nodes.select("fp"), nodes.count()))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut(named, "nodes")
     group = named.groupBy("root").agg(F.min("least").alias("component_id"))
     node = cut(named.join(group, "root").select("fp", "component_id"), "groups")
     return fps.join(node, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs without all but one document, that of the smallest id, of each group of groups()."""
+    keep = groups(docs, id_col, text_col, shingle).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(keep, id_col, "left_semi")
