@@ -17,16 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _held_out(modulus: int):
+def held_out(modulus: int):
     """The rows that no label or count is learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    trie = lm.train(docs.where(~_held_out(7)))
+    trie = lm.train(docs.where(~held_out(7)))
     out = lm.score(docs, trie).withColumnRenamed("id", "doc_id")
-    return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,9 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~_held_out(4))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out(4))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", _held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_secrets": op2_secrets,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
