@@ -1,0 +1 @@
+"""Features, point-in-time training sets and backtests for irregular time series, as Spark plans."""
