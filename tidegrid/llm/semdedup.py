@@ -65,7 +65,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, sample: int = 20_000, per_cell: int = 1500, block: int = 1024, max_cells: int = 1024
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, sample: int = 20_000, per_cell: int = 8192, block: int = 8192, max_cells: int = 4096
 ) -> DataFrame:
     """(id, n_links, component_id, kept): every vector's links at cosine ``threshold`` or more and its group's smallest id.
 
@@ -132,12 +132,16 @@ def near_duplicates(
             return pa.table({"rep": none, "links": none, "root": none})
         x, y = (_matrix(t.column("v").combine_chunks()) for t in (a, b))
         ra, rb, n = a.column("rep").to_numpy(), b.column("rep").to_numpy(), b.column("n").to_numpy()
-        hit = (x @ y.T >= threshold) & (ra[:, None] != rb[None])
-        i, j = np.nonzero(hit)
         reps = np.unique(np.concatenate([ra, rb]))
-        root = reps[local_roots(np.searchsorted(reps, ra[i]), np.searchsorted(reps, rb[j]), len(reps))]
-        links = np.zeros(len(reps), np.int64)
-        np.add.at(links, np.searchsorted(reps, ra), hit @ n)
+        pa_, pb = np.searchsorted(reps, ra), np.searchsorted(reps, rb)
+        links, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
+        for s in range(0, len(x), 256):  # a strip's links are folded into the forest before the next
+            hit = (x[s : s + 256] @ y.T >= threshold) & (ra[s : s + 256, None] != rb[None])
+            i, j = np.nonzero(hit)
+            if len(i):
+                links[pa_[s : s + 256]] += hit @ n
+                root = local_roots(root[pa_[s + i]], root[pb[j]], len(reps))[root]
+        root = reps[root]
         return pa.table({"rep": reps, "links": links, "root": root})
 
     found = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "rep long, links long, root long")
