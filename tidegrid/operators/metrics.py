@@ -25,9 +25,8 @@ def score_by(df: DataFrame, models: list[str], by: list[str] = (), reference: st
     """Errors of each model on common rows, by group, and its skill against the reference in the same group."""
     by = list(by)
     m = long(df, models, target).groupBy(*by, "model").agg(*errors(F.col(target), F.col("p")))
-    ref = m.where(F.col("model") == reference).select(*by, F.col("mae").alias("_ref"))
-    m = m.join(ref, by, "left") if by else m.crossJoin(F.broadcast(ref))
-    return m.withColumn("skill", 1 - safe_div(F.col("mae"), F.col("_ref"))).drop("_ref")
+    ref = F.max(F.when(F.col("model") == reference, F.col("mae"))).over(Window.partitionBy(*(by or [F.lit(0)])))  # over scores, a row for each model
+    return m.withColumn("skill", 1 - safe_div(F.col("mae"), F.nullif(ref, F.lit(0.0))))
 
 
 def with_context(df: DataFrame, wind: str, time: str = "target_time_utc", hour: str = "f_target_local_hour", month: str = "f_target_month") -> DataFrame:

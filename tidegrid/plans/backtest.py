@@ -65,7 +65,7 @@ def run(df: DataFrame, edges: list[tuple[datetime, datetime]], variants: list[Va
     columns = sorted({c for cols, _ in by_name.values() for c in cols})
     alpha, months = s.interval_alpha, s.calibration_months
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         cols, variant = by_name[key[1]]
         p = params[variant.name]
         pdf = pdf.sort_values(KEYS, kind="stable")
@@ -112,7 +112,7 @@ def importance(df: DataFrame, edge: tuple[datetime, datetime], variants: list[Va
     by_name = {v.name: feature_columns(df.columns, list(v.prefixes), v.leaky) for v in variants}
     columns = sorted({c for cols in by_name.values() for c in cols})
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         cols = by_name[key[1]]
         pdf = pdf.sort_values(KEYS, kind="stable")
         train, test = pdf[pdf.is_train], pdf[~pdf.is_train]
@@ -143,7 +143,7 @@ def tune(df: DataFrame, boundary: datetime, end: datetime, variants: list[Varian
     columns = sorted({c for cols in by_name.values() for c in cols})
     trials = df.sparkSession.range(len(drawn)).select(F.col("id").cast("int").alias("trial"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         cols, config = by_name[key[0]], drawn[key[1]]
         pdf = pdf.sort_values(KEYS, kind="stable")
         a, b = pdf[pdf.is_train], pdf[~pdf.is_train]
