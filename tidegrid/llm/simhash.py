@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,101 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return fps.join(node, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs without all but one document, that of the smallest id, of each group of groups()."""
-    keep = groups(docs, id_col, text_col, shingle).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+#: Least hashes kept of a text's shingles to measure similarity; texts of fewer distinct shingles are measured exactly.
+SKETCH = 256
+
+
+def bands_for(n: int, share: float = 0.1, miss: float = 0.02) -> tuple[int, int]:
+    """(bands, bits in each) for n texts: bands wide enough that unrelated texts seldom meet, and so many of them that two whose
+    fingerprints differ in ``share`` of the bits are within 2 bits in one band at least, but for a share of ``miss``."""
+    width = max(25, int(math.ceil(math.log2(max(n, 2)))) + 7)
+    near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
+    return math.ceil(math.log(miss) / math.log(1 - near)), width
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, width: int) -> DataFrame:
+    """(id, bands array<long>, n, sketch): the fingerprint of a text's distinct word pairs cut into bands, its number of distinct
+    shingles, and the least 32-bit hashes of these, sorted."""
+    digests = -(-bands * width // 128)
+    place = (np.uint64(1) << np.arange(width, dtype=np.uint64)).astype(np.uint64)
+
+    def one(text: bytes) -> tuple[np.ndarray, int, bytes]:
+        w = text.lower().split()
+        parts = lambda k: {b" ".join(x) for x in zip(*(w[i:] for i in range(k)))} if len(w) >= k else {b" ".join(w)} if w else set()
+        pairs, long = sorted(parts(2)), parts(shingle)
+        ones = np.zeros(digests * 128, np.int64)
+        for i in range(0, len(pairs), 32768):
+            some = pairs[i : i + 32768]
+            for d in range(digests):
+                raw = b"".join([xxhash.xxh3_128_digest(x, d) for x in some])
+                ones[d * 128 : d * 128 + 128] += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+        bits = (2 * ones > len(pairs))[: bands * width].reshape(bands, width)
+        hashes = np.fromiter((xxhash.xxh32_intdigest(x) for x in long), np.uint32, len(long))
+        return (bits * place).sum(1, dtype=np.uint64).view(np.int64), len(long), np.unique(hashes)[:SKETCH].tobytes()
+
+    def run(batches):
+        for b in batches:
+            raw, off = binary_buffer(b.column(1))
+            raw = raw.tobytes()
+            got = [one(raw[off[i] : off[i + 1]]) for i in range(b.num_rows)]
+            flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], ["id", "bands", "n", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, bands array<long>, n int, sketch binary")
+
+
+def jaccard(a: bytes, n: int, b: bytes, m: int) -> float:
+    """Similarity of two sets from their sketches: exact while both are complete, else the share of common values among the least ones of both."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    if n > SKETCH or m > SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts linked by a similarity of their distinct ``shingle``-word shingles of ``similarity`` or more.
+
+    Texts that alike may differ in many bits of one fingerprint, so the fingerprint (of word pairs, of which fewer change) is
+    longer and its segments narrower than groups() has: every text is entered in each band's table under the Hamming ball of
+    radius 1 around its value, which brings those within 2 bits of one another together. From a bucket go links to its smallest and
+    largest id, never its pairs; they are verified by the whole fingerprints' distance, then by the sketches. Equal
+    fingerprints are one node. Some links near the limit are missed (see bands_for), none below it is made but by the
+    sketch's error (0.025 for long texts). Null and empty texts are alike. Null ids are dropped; an empty table gives no rows.
+    """
+    d = docs.where(F.col(id_col).isNotNull())
+    bands, width = bands_for(d.count())
+    rows = cut(_sketches(d, id_col, text_col, shingle, bands, width), "sketches")
+    nodes = cut(rows.groupBy("bands").agg(F.min("id").alias("rep")), "distinct")
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ball = F.transform("bands", lambda v, i: F.transform(F.sequence(F.lit(-1), F.lit(width - 1)), lambda k: F.struct(i.alias("band"), v.bitwiseXOR(F.when(k < 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), k)).cast("long")).alias("value"))))
+    probes = nodes.repartition(tasks, "rep").select("rep", F.explode(F.flatten(ball)).alias("k")).select("rep", (F.col("k.value") * F.lit(bands) + F.col("k.band")).alias("key"))
+    ends = probes.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    met = probes.join(ends, "key").select("rep", F.explode(F.array("lo", "hi")).alias("to")).where("rep <> to")
+    met = met.select(F.least("rep", "to").alias("u"), F.greatest("rep", "to").alias("v")).distinct()
+    at = lambda c: nodes.select(F.col("rep").alias(c), F.col("bands").alias(f"{c}_bands"))
+    differ = F.aggregate(F.zip_with("u_bands", "v_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    close = cut(met.join(at("u"), "u").join(at("v"), "v").where(differ <= int(0.2 * bands * width)).select("u", "v"), "close")
+
+    def alike(batches):
+        for b in batches:
+            x = [c.to_pylist() for c in b.columns]
+            ok = [jaccard(p, n, q, m) >= similarity for n, p, m, q in zip(x[2], x[3], x[4], x[5])]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    some = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
+    few = cut(rows.join(some, "id", "left_semi"), "few")
+    pick = lambda c: few.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")).dropDuplicates([c])
+    pairs = close.join(pick("u"), "u").join(pick("v"), "v").select("u", "v", "u_n", "u_sketch", "v_n", "v_sketch")
+    roots = components(pairs.mapInArrow(alike, f"u {kind}, v {kind}")).withColumnsRenamed({"node": "rep", "root": "component_id"})
+    named = nodes.join(roots, "rep", "left").select("bands", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.select("id", "bands").join(named, "bands").select("id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near_copies(), that of the smallest id."""
+    keep = near_copies(docs, id_col, text_col, shingle, similarity).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(keep, id_col, "left_semi")
