@@ -19,8 +19,8 @@ def spine(spark: SparkSession, start: datetime, end: datetime, step_s: int = 180
 
 
 def bounds(series: DataFrame, time: str, start: datetime, days_ahead: int = 3, step_s: int = 1800) -> tuple[datetime, datetime]:
-    """The spine of a series: from the configured start to some days beyond its last slot. An empty series is an error."""
-    last = series.agg(F.max(time)).first()[0]
+    """The spine of a series: from the configured start to the end of the second day after its last one. An empty series is an error."""
+    last = series.agg(F.date_trunc("day", F.max(time)).cast("timestamp_ntz")).first()[0]
     if last is None:
         raise ValueError("the series is empty: ingest first")
     return start, last + timedelta(days=days_ahead) - timedelta(seconds=step_s)
