@@ -98,4 +98,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Scores, tests of randomness, trees, BPE, SimHash and classifiers are beyond SQL; tests/llm holds them against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+ WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ reach(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN link l ON l.u = r.w)
+ SELECT u AS vec_id, (SELECT count(*) FROM link WHERE link.u = reach.u) AS n_links, min(w) AS component_id, min(w) = u AS kept FROM reach GROUP BY u""",
+    "op8_substring": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+ first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+ kept AS (SELECT w.doc_id, x.p, x.word FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x JOIN w ON w.doc_id = x.doc_id ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p),
+ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+ SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
+}
