@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -13,8 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.tokens import keep_only, slices
+
 #: Entries that a worker's memo tables may hold before they start anew; bounds memory, never results.
-MEMO = 450_000
+MEMO = 300_000
 
 
 class Memo(dict):
@@ -55,8 +58,8 @@ class Bpe:
             if self.merge(token) == [i]:  # others never come out of merging
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.fits = Memo(self._fits)
-        self.piece = Memo(self._piece)
+        self.fits = Memo(self._fits, MEMO * 2 // 3)
+        self.piece = Memo(self._piece, MEMO * 2 // 3)
         self.chunk = Memo(self._chunk)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -151,11 +154,12 @@ def loaded(path: str, pattern: str) -> Bpe:
     """One encoder a worker process, kept between its tasks."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = Bpe(read_ranks(path), pattern)
+    keep_only("bpe", _LOADED.clear)
     return _LOADED[path, pattern]
 
 
-def _strings(col: pa.Array) -> list[str]:
-    return [x or "" for x in col.to_pylist()]
+def _strings(col: pa.Array) -> Iterator[str]:
+    return (x.as_py() or "" for x in col)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         bpe = loaded(vocabulary, pattern)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             ids = [bpe.encode(t) for t in _strings(b.column(1))]
             off = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
@@ -184,7 +188,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         bpe = loaded(vocabulary, pattern)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             n, x, y = [], [], []
             for t in _strings(b.column(1)):
                 ids = bpe.encode(t)

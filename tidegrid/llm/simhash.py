@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.graph import components
 from tidegrid.llm.store import cut
-from tidegrid.llm.tokens import binary_buffer
+from tidegrid.llm.tokens import binary_buffer, keep_only, slices
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -37,7 +37,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long): every text's fingerprint, whatever its length; null texts count as empty (fingerprint 0)."""
 
     def run(batches):
-        for b in batches:
+        keep_only("simhash", lambda: None)
+        for b in (part for batch in batches for part in slices(batch)):
             raw, off = binary_buffer(b.column(1))
             raw = raw.tobytes()
             fps = [fingerprint(raw[off[i] : off[i + 1]], shingle) for i in range(b.num_rows)]
@@ -133,7 +134,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         return (bits * place).sum(1, dtype=np.uint64).view(np.int64), len(long), np.unique(hashes)[:SKETCH].tobytes()
 
     def run(batches):
-        for b in batches:
+        keep_only("simhash", lambda: None)
+        for b in (part for batch in batches for part in slices(batch)):
             raw, off = binary_buffer(b.column(1))
             raw = raw.tobytes()
             got = [one(raw[off[i] : off[i + 1]]) for i in range(b.num_rows)]

@@ -26,6 +26,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_HELD: dict[str, object] = {}
+
+
+def keep_only(owner: str, clear) -> None:
+    """What a worker process remembers between tasks, kept for one operator at a time: another's memo tables are cleared first."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that a worker never holds what it makes of all of them."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(32))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -10,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegrid.llm.tokens import keep_only, slices
 
 #: Buckets that features are hashed to while the vocabulary is chosen.
 BUCKETS = 1 << 21
@@ -43,7 +47,7 @@ class Model:
         for w in _WORD.findall(text.lower()):
             got = memo.get(w)
             if got is None:
-                if len(memo) > 300_000:
+                if len(memo) > 200_000:
                     memo.clear()
                 got = memo[w] = [s for s in self.slots[_features(w)].tolist() if s >= 0]
             for s in got:
@@ -169,16 +173,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     Only words of the text count: no other column is read. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS slots and at most ``vocabulary`` weights
+    names, mark = docs.columns, uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def one(texts):
-        memo = _memo
-        if memo.get("of") is not shared.value:
-            memo.clear()
-            memo.update(of=shared.value, words={})
-        return texts.fillna("").map(lambda t: shared.value.score(t, memo["words"])).astype(float)
+    def run(batches):
+        held = _MEMO
+        keep_only("toxicity", held.clear)
+        if held.get("of") != mark:
+            held.clear()
+            held.update(of=mark, words={})
+        for b in (part for batch in batches for part in slices(batch)):
+            scores = [shared.value.score(t.as_py() or "", held["words"]) for t in b.column(names.index(text_col))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, out])
 
-    return docs.withColumn(out, one(F.col(text_col)))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
-_memo: dict = {}
+_MEMO: dict = {}
