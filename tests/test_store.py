@@ -55,14 +55,14 @@ def test_build_backtest_and_reports(spark, tmp_path, capsys):
     slots = spark.range(n).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 1800).cast("timestamp_ntz").alias("period_start_utc"), "id")
     now = F.lit(datetime(2024, 6, 1)).cast("timestamp_ntz").alias("ingested_at_utc")
     end = (F.col("period_start_utc") + F.expr("interval 30 minutes")).alias("period_end_utc")
-    K.write(slots.where("id not between 700 and 705").select("period_start_utc", end, (F.col("id") % 97 + 107).cast("int").alias("forecast_gco2"), F.when(F.col("id") != 900, F.col("id") % 97 + 100).otherwise(0).cast("int").alias("actual_gco2"), F.lit("low").alias("intensity_index"), now), store, "raw_intensity")
-    K.write(slots.select("period_start_utc", end, F.explode(F.array(*map(F.lit, build.FUELS))).alias("fuel"), (F.col("id") % 11).cast("double").alias("perc"), now), store, "raw_generation")
+    K.put(slots.where("id not between 700 and 705").select("period_start_utc", end, (F.col("id") % 97 + 107).cast("int").alias("forecast_gco2"), F.when(F.col("id") != 900, F.col("id") % 97 + 100).otherwise(0).cast("int").alias("actual_gco2"), F.lit("low").alias("intensity_index"), now), store, "raw_intensity")
+    K.put(slots.select("period_start_utc", end, F.explode(F.array(*map(F.lit, build.FUELS))).alias("fuel"), (F.col("id") % 11).cast("double").alias("perc"), now), store, "raw_generation")
     sites = spark.createDataFrame([("a", "A", "wind", 1.0, 1.0), ("b", "B", "solar", 2.0, 2.0), ("c", "C", "demand", 3.0, 3.0)], K.RAW["raw_weather_locations"][0])
     assert K.load(spark, store, "raw_weather_locations", sites) == 3
     w = slots.where("id % 2 = 0").crossJoin(sites.select("location_id")).select("location_id", F.col("period_start_utc").alias("time_utc"), *[(F.col("id") % k).cast("double").alias(c) for k, c in ((13, "wind_speed_100m"), (400, "shortwave_radiation"), (20, "temperature_2m"), (100, "cloud_cover"))], now)
-    K.write(w, store, "raw_weather_archive")
-    K.write(w.withColumn("wind_speed_100m", F.col("wind_speed_100m") + 1), store, "raw_weather_hist_forecast")
-    K.write(w.withColumn("lead_days", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(K.read(spark, store, "raw_weather_prev_runs").columns), store, "raw_weather_prev_runs")
+    K.put(w, store, "raw_weather_archive")
+    K.put(w.withColumn("wind_speed_100m", F.col("wind_speed_100m") + 1), store, "raw_weather_hist_forecast")
+    K.put(w.withColumn("lead_days", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(K.read(spark, store, "raw_weather_prev_runs").columns), store, "raw_weather_prev_runs")
     base = ["--store", store, "--settings", str(s)]
     cli.main(["features", *base])
     counts = {name: spark.read.parquet(f"{store}/{name}").count() for name in build.LAYERS}

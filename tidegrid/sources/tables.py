@@ -20,12 +20,41 @@ RAW = {
 }
 
 
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A raw table, or an empty one of its schema where nothing has been written."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def _month(name: str):
+    """A raw table's partition: the month of its time key; None for dimensions."""
+    times = [k for k in RAW[name][1] if k.endswith("_utc")]
+    return F.date_format(times[0], "yyyy-MM") if times else None
+
+
+def read(spark: SparkSession, path: str, name: str, months: list[str] | None = None) -> DataFrame:
+    """A raw table (of some months), or an empty one of its schema where nothing has been written."""
+    schema = spark.createDataFrame([], RAW[name][0])
+    if not _exists(spark, f"{path}/{name}"):
+        return schema
+    if _month(name) is None:
         return spark.read.schema(RAW[name][0]).parquet(f"{path}/{name}")
-    return spark.createDataFrame([], RAW[name][0])
+    t = spark.read.schema(f"{RAW[name][0]}, month string").parquet(f"{path}/{name}")
+    return (t if months is None else t.where(F.col("month").isin(months))).select(schema.columns)
+
+
+def put(df: DataFrame, path: str, name: str) -> None:
+    """Writes a raw table, or replaces the months of it that df has, all rows of which df must hold.
+
+    The rows are written aside first: they may have been read from the very files that they replace.
+    """
+    if _month(name) is None:
+        return write(df, path, name)
+    spark, aside = df.sparkSession, f"{path}/{name}.new"
+    df.withColumn("month", _month(name)).repartition("month").write.mode("overwrite").parquet(aside)
+    rows = spark.read.parquet(aside)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/{name}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def latest(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -63,15 +92,18 @@ def write(df: DataFrame, path: str, name: str) -> None:
 
 
 def load(spark: SparkSession, path: str, name: str, batch: DataFrame) -> int:
-    """Upserts a batch (with ingested_at_utc) into a raw table; the number of rows it had."""
+    """Upserts a batch (with ingested_at_utc) into a raw table; the number of rows it had. Only the months that it touches are read and written."""
     keys = RAW[name][1]
-    other = {"period_end_utc", "ingested_at_utc"}
-    old = read(spark, path, name)
-    batch = latest(batch.select(old.columns), keys, "ingested_at_utc" if "ingested_at_utc" in old.columns else keys[0])
-    keep = [c for c in old.columns if c not in other and c not in keys]
+    columns = spark.createDataFrame([], RAW[name][0]).columns
+    batch = latest(batch.select(columns), keys, "ingested_at_utc" if "ingested_at_utc" in columns else keys[0])
+    keep = [c for c in columns if c not in {"period_end_utc", "ingested_at_utc", *keys}]
+    month = _month(name)
     n = batch.count()
-    out = upsert_plain(old, batch, keys) if name == "raw_weather_locations" else upsert(old, batch, keys, keep)
-    write(out, path, name)
+    if month is None:
+        put(upsert_plain(read(spark, path, name), batch, keys), path, name)
+    elif n:
+        months = [r[0] for r in batch.select(month).distinct().collect()]  # as many as a request spans
+        put(upsert(read(spark, path, name, months), batch, keys, keep), path, name)
     return n
 
 
