@@ -108,7 +108,7 @@ SKETCH = 256
 def bands_for(n: int, share: float = 0.1, miss: float = 0.02) -> tuple[int, int]:
     """(bands, bits in each) for n texts: bands wide enough that unrelated texts seldom meet, and so many of them that two whose
     fingerprints differ in ``share`` of the bits are within 2 bits in one band at least, but for a share of ``miss``."""
-    width = max(25, int(math.ceil(math.log2(max(n, 2)))) + 7)
+    width = max(16, math.ceil(math.log2(max(n, 2))) + 9)
     near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
     return math.ceil(math.log(miss) / math.log(1 - near)), width
 
