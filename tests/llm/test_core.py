@@ -53,7 +53,10 @@ def test_elias_fano(values, more):
     v = np.unique(np.array(values, np.uint64))
     e = EliasFano.build(v, 10_000 + more)
     q = np.arange(0, 10_000, 37, dtype=np.uint64)
-    assert (e.values() == v).all()
+    assert (e.values() == v).all() and (e.get(np.arange(len(v))) == v).all()
+    lo, hi = np.full(len(q), len(v) // 3), np.full(len(q), len(v) - len(v) // 4)
+    assert (e.successor(q, lo, hi) == np.clip(np.searchsorted(v, q), lo, hi)).all()
+    assert ((e.find(q, lo, hi) >= 0) == np.isin(q, v[len(v) // 3 : len(v) - len(v) // 4])).all()
     assert (e.successor(q) == np.searchsorted(v, q)).all()
     assert (e.find(q) >= 0).tolist() == np.isin(q, v).tolist()
     assert (e.find(v) == np.arange(len(v))).all()
@@ -62,7 +65,7 @@ def test_elias_fano(values, more):
 def test_elias_fano_of_equal_and_no_values():
     assert EliasFano.build(np.zeros(0, np.uint64), 5).find(np.array([3], np.uint64)).tolist() == [-1]
     e = EliasFano.build(np.array([2, 2, 2, 7], np.uint64), 9)
-    assert e.successor(np.array([0, 2, 3, 8], np.uint64)).tolist() == [0, 0, 3, 4]
+    assert e.successor(np.array([0, 2, 3, 8], np.uint64)).tolist() == [0, 0, 3, 4] and e.get(np.arange(4)).tolist() == [2, 2, 2, 7]
 
 
 def test_bpe_is_merging():

@@ -27,6 +27,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, high: np.ndarray, zeros: np.ndarray, low: np.ndarray):
         self.n, self.width, self.high, self.zeros, self.low = n, width, high, zeros, low
+        self._ones: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -41,16 +42,26 @@ class EliasFano:
         zeros = np.concatenate([[0], np.cumsum(64 - ones)[:-1]])
         return cls(n, width, high, zeros, _pack_low(values, width))
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th unset bit."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
-        each = (~self.high[word]).view(np.uint8).reshape(-1, 8)
+    def _select(self, before: np.ndarray, words, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th set bit of words, of which words(w) is the w-th and has before[w] set bits before it."""
+        word = np.searchsorted(before, k, "right") - 1
+        left = k - before[word]
+        each = np.ascontiguousarray(words(word)).view(np.uint8).reshape(-1, 8)
         upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.int64)
         byte = (upto <= left[:, None]).sum(1)
         i = np.arange(len(k))
-        before = np.where(byte > 0, upto[i, byte - 1], 0)
-        return word * 64 + byte * 8 + _NTH[each[i, byte], left - before]
+        return word * 64 + byte * 8 + _NTH[each[i, byte], left - np.where(byte > 0, upto[i, byte - 1], 0)]
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th unset bit of high."""
+        return self._select(self.zeros, lambda w: ~self.high[w], k)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Elements by index."""
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        at = self._select(self._ones, lambda w: self.high[w], i)
+        return (((at - i).astype(np.uint64) << _U(self.width)) | self.lows(i)).astype(np.int64)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if self.width == 0:
@@ -62,8 +73,8 @@ class EliasFano:
         v |= np.where(over, self.low[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
         return v & _U((1 << self.width) - 1)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element of at least each value (n if none); values lie in the universe."""
+    def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element of at least each value (n if none), among elements lo:hi where given; values lie in the universe."""
         v = values.astype(np.uint64)
         h = (v >> _U(self.width)).astype(np.int64)
         low = v & _U((1 << self.width) - 1)
@@ -71,6 +82,8 @@ class EliasFano:
         i = np.zeros(len(v), np.int64)
         some = np.flatnonzero(h > 0)
         i[some] = self._zero(h[some] - 1) - (h[some] - 1)
+        if lo is not None:
+            i, end = np.clip(i, lo, hi), np.minimum(end, hi)
         # Elements with one upper part are as many as a frequent context has followers: halve, don't walk.
         open_ = np.flatnonzero(i < end)
         while len(open_):
@@ -87,13 +100,13 @@ class EliasFano:
         i = np.arange(self.n)
         return ((at - i).astype(np.uint64) << _U(self.width)) | self.lows(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it isn't an element."""
-        i = self.successor(values)
+    def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value, -1 where it isn't an element (of lo:hi, where given)."""
+        i = self.successor(values, lo, hi)
         out = np.full(len(i), -1, np.int64)
         v = values.astype(np.uint64)
         h = (v >> _U(self.width)).astype(np.int64)
-        k = np.flatnonzero(i < self._zero(h) - h)
+        k = np.flatnonzero(i < (self._zero(h) - h if hi is None else np.minimum(self._zero(h) - h, hi)))
         k = k[self.lows(i[k]) == (v[k] & _U((1 << self.width) - 1))]
         out[k] = i[k]
         return out

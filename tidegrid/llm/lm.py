@@ -135,8 +135,10 @@ class Trie:
         cache = self.__dict__.setdefault("_cache", {})
         if (level, k) not in cache:
             get = _open(f"{self.path}/{level}-{k if level == 2 else self.names[k]}")
-            names = ("words", "counts", "prob") if level == 1 else ("keys", "prob", "bow")
-            cache[level, k] = EliasFano.from_arrays(get, names[0]), get(names[1]), get(names[2])
+            if level == 1:
+                cache[level, k] = EliasFano.from_arrays(get, "words"), get("counts"), get("prob")
+            else:
+                cache[level, k] = EliasFano.from_arrays(get, "begin"), EliasFano.from_arrays(get, "keys"), get("prob"), get("bow")
         return cache[level, k]
 
     def __getstate__(self):
@@ -183,13 +185,16 @@ class Trie:
             a, b = edges[k], edges[k + 1] if k + 1 < len(edges) else len(key)
             if a == b:
                 continue
-            keys, prob, bow = self._files(2, k)
-            low = int(self.cuts[k])
-            at = known[a:b]
-            out[at] += -_STEP * bow[c[a:b] - low // self.n_words].astype(np.float64)
-            i = keys.find(key[a:b] - np.uint64(low)) if keys.n else np.full(b - a, -1)
-            hit = np.flatnonzero((i >= 0) & (word[a:b] >= 0))
-            out[at[hit]] = -_STEP * prob[i[hit]].astype(np.float64)
+            begin, keys, prob, bow = self._files(2, k)
+            low, at = int(self.cuts[k]), known[a:b]
+            of = c[a:b] - low // self.n_words
+            out[at] += -_STEP * bow[of].astype(np.float64)
+            # The pointers of a context bound its followers; the word's key is looked for among these.
+            first, last = begin.get(of), begin.get(of + 1)
+            some = np.flatnonzero((first < last) & (word[a:b] >= 0))
+            i = keys.find(key[a:b][some] - np.uint64(low), first[some], last[some])
+            hit = np.flatnonzero(i >= 0)
+            out[at[some[hit]]] = -_STEP * prob[i[hit]].astype(np.float64)
         return out
 
 
@@ -343,7 +348,7 @@ def _second_level(d: DataFrame, trie: Trie) -> Trie:
                     keys = EliasFano.from_arrays(get, "keys").values().astype(np.int64) + (low - a * v)
                     counts = np.frombuffer(zlib.decompress(_open(f"{path}-counts/2-{k}")("counts").tobytes()), np.int64)
                 else:
-                    arrays = EliasFano.build(keys, 1).arrays("keys")
+                    arrays = EliasFano.build(keys, 1).arrays("keys") | EliasFano.build(np.zeros(b - a + 2, np.int64), 1).arrays("begin")
                 context, word = keys // v, keys % v
                 followers = np.bincount(context, minlength=b - a + 1).astype(np.float64)
                 for c in {a, b} & spread.keys():
