@@ -133,12 +133,14 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, vocabulary: in
     w = np.zeros(2 * len(chosen) + 1)
     w[-1] = none.bias
     m, v = np.zeros_like(w), np.zeros_like(w)
+    back = lambda x, g: (g.astype(np.float32) @ x).astype(float)
     for step in range(1, steps + 1):
-        z_pos, z_all = x_pos @ w, x_all @ w
+        narrow = w.astype(np.float32)
+        z_pos, z_all = (x_pos @ narrow).astype(float), (x_all @ narrow).astype(float)
         _, negative, g_all, g_pos = risk(z_pos, z_all, prior)
-        g = x_all.T @ g_all + x_pos.T @ g_pos
+        g = back(x_all, g_all) + back(x_pos, g_pos)
         if negative >= 0:
-            g += x_pos.T @ (-prior / (1 + np.exp(z_pos)) / len(z_pos))
+            g += back(x_pos, -prior / (1 + np.exp(z_pos)) / len(z_pos))
         else:
             g = -g
         g[:-1] += ridge * w[:-1]
