@@ -239,6 +239,36 @@ def test_near_copies(spark, docs, awkward):
     assert sorted(kept) == [1, 4, 6, 7, 9, 10, 11] and simhash.drop_near_copies(awkward).columns == awkward.columns
 
 
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def plain_near(rows, limit=0.8):
+    s = {i: shingle_set(t) for i, t in rows}
+    ids = sorted(s)
+    alike = lambda a, b: not (a | b) or len(a & b) >= limit * len(a | b)
+    return components([(i, j) for i in ids for j in ids if i < j and alike(s[i], s[j])], ids)
+
+
+def near(spark, rows):
+    return {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_near_copies_of_a_base_with_a_middle_id(spark):
+    """The copies are like the base and not like each other, and the base is neither end of a bucket."""
+    rng = random.Random(7)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(240)]
+    rows = [(500, " ".join(base))]
+    for i in range(200):
+        w = list(base)
+        for k in rng.sample(range(5, 235), 4):
+            w[k] = f"c{rng.randrange(10**9)}"
+        rows.append((400 + i if i < 100 else 401 + i, " ".join(w)))
+    got = near(spark, rows)
+    assert got == plain_near(rows) and set(got.values()) == {400}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 16))

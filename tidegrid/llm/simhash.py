@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.graph import components
-from tidegrid.llm.store import cut
-from tidegrid.llm.tokens import binary_buffer, keep_only, slices
+from tidegrid.llm.store import cut, drop
+from tidegrid.llm.tokens import binary_buffer, keep_only, mix, slices, split_words
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -101,50 +102,108 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return fps.join(node, "fp").select("id", "fp", "component_id")
 
 
-#: Least hashes kept of a text's shingles to measure similarity; texts of fewer distinct shingles are measured exactly.
+#: Least hashes kept of a text's shingles to reject pairs that are far from similar, and the margin below the limit at which they do
+#: (six times the error of 256 hashes); whatever is nearer is measured on the whole sets.
 SKETCH = 256
+MARGIN = 0.15
+#: Counters of the shingles' approximate frequency: 1 MB whatever the number of texts.
+SLOTS = 1 << 20
+
+
+def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Each row's distinct word shingles as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
+    for w in split_words(col, lower=True):
+        h = w.hashes()
+        m = len(h) - shingle + 1
+        if m > 0:
+            all_ = mix(h[:m])
+            for k in range(1, shingle):
+                all_ = mix(all_ + h[k : k + m])
+        for x, y in zip(w.first[:-1], w.first[1:]):
+            if y - x >= shingle:
+                yield np.unique(all_[x : y - shingle + 1])
+            else:
+                one = np.array([y - x], np.uint64)
+                for k in range(x, y):
+                    one = mix(one + h[k : k + 1])
+                yield one if y > x else one[:0]
+
+
+def _levels(d: DataFrame, shingle: int, sample: int = 50_000) -> np.ndarray:
+    """How common the shingles of each slot are among about ``sample`` texts, on a scale of logarithms.
+
+    It only orders the shingles, so that common ones seldom are keys: any other table gives the same groups at another cost.
+    """
+    n = d.count()
+    some = d if n <= sample else d.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < max(1, (sample << 30) // n))
+    part = SLOTS // 16
+
+    def count(batches):
+        sums = np.zeros(SLOTS, np.int64)
+        for b in (x for batch in batches for x in slices(batch)):
+            sets = list(shingle_sets(b.column(1), shingle))
+            sums += np.bincount(np.concatenate(sets).astype(np.int64) & (SLOTS - 1), minlength=SLOTS) if sets else 0
+        for k in range(16 if sums.any() else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k * part : (k + 1) * part].tobytes()], pa.binary())], ["part", "sums"])
+
+    def add(table):
+        sums = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "levels": pa.array([(4 * np.log2(sums + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
+    levels = np.zeros(SLOTS, np.uint8)
+    for r in some.mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, levels binary").collect():
+        levels[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["levels"], np.uint8)
+    return levels
 
-def bands_for(n: int, share: float = 0.1, miss: float = 0.02) -> tuple[int, int]:
-    """(bands, bits in each) for n texts: bands wide enough that unrelated texts seldom meet, and so many of them that two whose
-    fingerprints differ in ``share`` of the bits are within 2 bits in one band at least, but for a share of ``miss``."""
-    width = max(16, math.ceil(math.log2(max(n, 2))) + 9)
-    near = sum(math.comb(width, k) * share**k * (1 - share) ** (width - k) for k in range(3))
-    return math.ceil(math.log(miss) / math.log(1 - near)), width
-
-
-def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, width: int) -> DataFrame:
-    """(id, bands array<long>, n, sketch): the fingerprint of a text's distinct word pairs cut into bands, its number of distinct
-    shingles, and the least 32-bit hashes of these, sorted."""
-    digests = -(-bands * width // 128)
-    place = (np.uint64(1) << np.arange(width, dtype=np.uint64)).astype(np.uint64)
-
-    def one(text: bytes) -> tuple[np.ndarray, int, bytes]:
-        w = text.lower().split()
-        parts = lambda k: {b" ".join(x) for x in zip(*(w[i:] for i in range(k)))} if len(w) >= k else {b" ".join(w)} if w else set()
-        pairs, long = sorted(parts(2)), parts(shingle)
-        ones = np.zeros(digests * 128, np.int64)
-        for i in range(0, len(pairs), 32768):
-            some = pairs[i : i + 32768]
-            for d in range(digests):
-                raw = b"".join([xxhash.xxh3_128_digest(x, d) for x in some])
-                ones[d * 128 : d * 128 + 128] += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
-        bits = (2 * ones > len(pairs))[: bands * width].reshape(bands, width)
-        hashes = np.fromiter((xxhash.xxh32_intdigest(x) for x in long), np.uint32, len(long))
-        return (bits * place).sum(1, dtype=np.uint64).view(np.int64), len(long), np.unique(hashes)[:SKETCH].tobytes()
+
+def _prefixes(levels: np.ndarray, shingle: int, similarity: float):
+    """Rows (id, mark, n, prefix): digest and size of a text's shingle set, and its rarest shingles, so many that two sets of at least
+    ``similarity`` have one of them in common."""
 
     def run(batches):
         keep_only("simhash", lambda: None)
         for b in (part for batch in batches for part in slices(batch)):
-            raw, off = binary_buffer(b.column(1))
-            raw = raw.tobytes()
-            got = [one(raw[off[i] : off[i + 1]]) for i in range(b.num_rows)]
-            flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.binary())], ["id", "bands", "n", "sketch"])
+            marks, sizes, keys = [], [], []
+            for s in shingle_sets(b.column(1), shingle):
+                order = np.argsort(levels[s.astype(np.int64) & (SLOTS - 1)], kind="stable")
+                marks.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                keys.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
+            ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "mark", "n", "prefix"])
+
+    return run
+
+
+def _whole_sets(shingle: int):
+    """Rows (id, n, sketch, hashes): a text's whole shingle set and a sketch of it."""
+
+    def run(batches):
+        for b in (part for batch in batches for part in slices(batch)):
+            sets = list(shingle_sets(b.column(1), shingle))
+            least = [np.unique((s >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sketch", "hashes"])
+
+    return run
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, bands array<long>, n int, sketch binary")
+
+def _passing(ok):
+    """Keeps the first two columns of rows whose other columns pass ``ok``."""
+
+    def run(batches):
+        for b in batches:
+            good = pa.array([ok(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["u", "v"])
+
+    return run
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two whole sets of sorted 64-bit hashes are of ``similarity`` or more."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
 def jaccard(a: bytes, n: int, b: bytes, m: int) -> float:
@@ -159,41 +218,64 @@ def jaccard(a: bytes, n: int, b: bytes, m: int) -> float:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): groups of texts linked by a similarity of their distinct ``shingle``-word shingles of ``similarity`` or more.
 
-    Texts that alike may differ in many bits of one fingerprint, so the fingerprint (of word pairs, of which fewer change) is
-    longer and its segments narrower than groups() has: every text is entered in each band's table under the Hamming ball of
-    radius 1 around its value, which brings those within 2 bits of one another together. From a bucket go links to its smallest and
-    largest id, never its pairs; they are verified by the whole fingerprints' distance, then by the sketches. Equal
-    fingerprints are one node. Some links near the limit are missed (see bands_for), none below it is made but by the
-    sketch's error (0.025 for long texts). Null and empty texts are alike. Null ids are dropped; an empty table gives no rows.
+    Exact, whatever the number of texts. In any order of all shingles, two sets that similar have one in common among the
+    first (1 - similarity) of each, so every text is entered under those, in order of rarity. Of the texts that meet under a
+    key, first all are compared with the one that meets the most others, which joins a family to its base. Then, as long as that
+    joins more, with another of those left over; at last each of these with all members of other groups, so no link between groups
+    is left out. Far pairs are rejected by sketches, the others verified on their whole sets. Equal sets are one node. Null
+    and empty texts are alike. Null ids are dropped; an empty table gives no rows.
     """
-    d = docs.where(F.col(id_col).isNotNull())
-    bands, width = bands_for(d.count())
-    rows = cut(_sketches(d, id_col, text_col, shingle, bands, width), "sketches")
-    nodes = cut(rows.groupBy("bands").agg(F.min("id").alias("rep")), "distinct")
-    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ball = F.transform("bands", lambda v, i: F.transform(F.sequence(F.lit(-1), F.lit(width - 1)), lambda k: F.struct(i.alias("band"), v.bitwiseXOR(F.when(k < 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), k)).cast("long")).alias("value"))))
-    probes = nodes.repartition(tasks, "rep").select("rep", F.explode(F.flatten(ball)).alias("k")).select("rep", (F.col("k.value") * F.lit(bands) + F.col("k.band")).alias("key"))
-    ends = probes.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    met = probes.join(ends, "key").select("rep", F.explode(F.array("lo", "hi")).alias("to")).where("rep <> to")
-    met = met.select(F.least("rep", "to").alias("u"), F.greatest("rep", "to").alias("v")).distinct()
-    at = lambda c: nodes.select(F.col("rep").alias(c), F.col("bands").alias(f"{c}_bands"))
-    differ = F.aggregate(F.zip_with("u_bands", "v_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    close = cut(met.join(at("u"), "u").join(at("v"), "v").where(differ <= int(0.2 * bands * width)).select("u", "v"), "close")
-
-    def alike(batches):
-        for b in batches:
-            x = [c.to_pylist() for c in b.columns]
-            ok = [jaccard(p, n, q, m) >= similarity for n, p, m, q in zip(x[2], x[3], x[4], x[5])]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    some = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
-    few = cut(rows.join(some, "id", "left_semi"), "few")
-    pick = lambda c: few.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")).dropDuplicates([c])
-    pairs = close.join(pick("u"), "u").join(pick("v"), "v").select("u", "v", "u_n", "u_sketch", "v_n", "v_sketch")
-    roots = components(pairs.mapInArrow(alike, f"u {kind}, v {kind}")).withColumnsRenamed({"node": "rep", "root": "component_id"})
-    named = nodes.join(roots, "rep", "left").select("bands", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("id", "bands").join(named, "bands").select("id", "component_id")
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    kind = d.schema["id"].dataType.simpleString()
+    rows = cut(d.mapInArrow(_prefixes(_levels(d, shingle), shingle, similarity), f"id {kind}, mark binary, n int, prefix array<long>"), "prefixes")
+    nodes = cut(rows.groupBy("mark").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "distinct")
+    post = nodes.select("rep", "n", F.explode("prefix").alias("key"))
+    full = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(post.join(full, "key"), "met")
+    load = met.groupBy("rep").agg(F.sum("size").alias("load"))
+    met = cut(met.select("key", "rep", "n").join(load, "rep"), "members")
+    few = met.select(F.col("rep").alias("id")).distinct()
+    sets = cut(d.join(few, "id", "left_semi").mapInArrow(_whole_sets(shingle), f"id {kind}, n int, sketch binary, hashes binary").dropDuplicates(["id"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (u, v, and sizes u_n, v_n) that are similar."""
+        pairs = pairs.where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        of = lambda c, *names: sets.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in names])
+        at = pairs.join(of("u", "sketch", "n"), "u").join(of("v", "sketch", "n"), "v").select("u", "v", "u_sketch", "u_n", "v_sketch", "v_n")
+        close = cut(at.mapInArrow(_passing(lambda p, n, q, m: jaccard(p, n, q, m) >= similarity - MARGIN), f"u {kind}, v {kind}"), "close")
+        at = close.join(of("u", "hashes"), "u").join(of("v", "hashes"), "v").select("u", "v", "u_hashes", "v_hashes")
+        return cut(at.mapInArrow(_passing(lambda p, q: similar(p, q, similarity)), f"u {kind}, v {kind}"), "links")
+
+    def spokes(hubs: DataFrame, members: DataFrame) -> DataFrame:
+        """Each key's hub, the member of the greatest load, with all members of other groups."""
+        hub = hubs.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), F.struct("load", "rep")).alias("hub"))
+        return members.join(hub, "key").where("root <> hub.root").select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("hub.rep").alias("v"), F.col("hub.n").alias("v_n"))
+
+    everywhere = met.withColumn("root", F.col("rep"))
+    links = verified(spokes(everywhere, everywhere))
+    n_met, found = met.count(), links.count()
+    while True:
+        roots = components(links)
+        now = cut(met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+        parts = now.groupBy("key", "root").agg(F.count("*").alias("m"))
+        main = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("total"), F.max("m").alias("most")).where("most < total")
+        work = main.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0] or 0
+        left = now.join(main.select("key", "main"), "key").where("root <> main")
+        last = not found or work <= 4 * n_met
+        if last:
+            x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"), "main")
+            y = now.select("key", F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
+            more = verified(x.join(y, "key").where((F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("main")) | (F.col("u") < F.col("v")))))
+        else:
+            more = verified(spokes(left, now))
+        found = more.count()
+        links = links.unionByName(more)
+        drop(now)
+        if last:
+            break
+    roots = components(links) if found else roots
+    named = nodes.select("mark", "rep").join(roots.withColumnsRenamed({"node": "rep", "root": "component_id"}), "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.select("id", "mark").join(named, "mark").select("id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
