@@ -269,6 +269,21 @@ def test_near_copies_of_a_base_with_a_middle_id(spark):
     assert got == plain_near(rows) and set(got.values()) == {400}
 
 
+def replaced(rng, words, k, at):
+    return words[:at] + [f"r{rng.randrange(10**9)}" for _ in range(k)] + words[at + k :]
+
+
+def test_near_copies_by_block_and_cut(spark):
+    """Pairs at 0.80 to 0.81 by one replaced block or by truncation, whose fingerprints differ most."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(replaced(rng, w, 28, rng.randrange(4, 260)))), (10 * k + 2, " ".join(w[:241]))]
+    got = near(spark, rows)
+    assert got == plain_near(rows) and all(got[10 * k + i] == 10 * k for k in range(40) for i in (1, 2))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 16))

@@ -220,8 +220,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Exact, whatever the number of texts. In any order of all shingles, two sets that similar have one in common among the
     first (1 - similarity) of each, so every text is entered under those, in order of rarity. Of the texts that meet under a
-    key, first all are compared with the one that meets the most others, which joins a family to its base. Then, as long as that
-    joins more, with another of those left over; at last each of these with all members of other groups, so no link between groups
+    key, first all are compared with the one that meets the most others, which joins a family to its base. Then, while that halves
+    what is left, with another of those left over; at last each of these with all members of other groups, so no link between groups
     is left out. Far pairs are rejected by sketches, the others verified on their whole sets. Equal sets are one node. Null
     and empty texts are alike. Null ids are dropped; an empty table gives no rows.
     """
@@ -253,7 +253,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     everywhere = met.withColumn("root", F.col("rep"))
     links = verified(spokes(everywhere, everywhere))
-    n_met, found = met.count(), links.count()
+    n_met, found, before = met.count(), links.count(), math.inf
     while True:
         roots = components(links)
         now = cut(met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
@@ -261,7 +261,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         main = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("total"), F.max("m").alias("most")).where("most < total")
         work = main.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0] or 0
         left = now.join(main.select("key", "main"), "key").where("root <> main")
-        last = not found or work <= 4 * n_met
+        last = not found or work <= 4 * n_met or work > before / 2
+        before = work
         if last:
             x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"), "main")
             y = now.select("key", F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
