@@ -284,6 +284,17 @@ def test_near_copies_by_block_and_cut(spark):
     assert got == plain_near(rows) and all(got[10 * k + i] == 10 * k for k in range(40) for i in (1, 2))
 
 
+def test_near_copies_on_whole_sets(spark):
+    """Texts of many shingles just above and just below the limit."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(604)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(replaced(rng, w, 62 if k % 2 else 63, 100)))]
+    got = near(spark, rows)
+    assert got == plain_near(rows) and all(got[10 * k + 1] == 10 * k + 1 - k % 2 for k in range(30))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 16))
