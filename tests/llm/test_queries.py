@@ -157,6 +157,15 @@ def test_battery_accepts_random_and_rejects_text(spark):
     assert 0.3 < np.mean(p(random_)) < 0.7 and np.mean(np.array(p(random_)) < 0.05) < 0.12 and np.mean(np.array(p(text)) < 0.05) > 0.8
 
 
+def test_long_tokens_are_tested(spark):
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(i, "key " + "".join(rng.choice(alphabet) for _ in range(513 + 37 * i)) + " end") for i in range(40)]
+    rows += [(100 + i, "key " + "the1And2ing3er" * (40 + i) + " end") for i in range(10)]
+    spans = {r.id: r.spans for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(f"random:4:{517 + 37 * i}" in spans[i] for i in range(40)) >= 36 and not any("random" in spans[100 + i] for i in range(10))
+
+
 def vocabulary():
     public = pytest.importorskip("public_tokenizers")
     return public.path(Q.VOCABULARY), public.PATTERN

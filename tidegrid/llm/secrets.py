@@ -28,6 +28,8 @@ ALPHABETS = {
     "base64url": ("^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 }
 _BLOCK = 128
+#: Tokens of more characters are tested in so many equal pieces that none is longer.
+_PIECE = 512
 _GRID = (0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 #: Lower ends of the classes of length that share a limit.
 _LENGTHS = (20, 24, 28, 32, 40, 48, 64)
@@ -83,13 +85,14 @@ def battery(token: Column) -> Column:
     """struct<encoding, n, p>: the probability that a uniformly random token of the inferred encoding looks less random.
 
     Three tests: chi-squared of the characters' frequencies (Wilson-Hilferty), runs above and below the middle of the alphabet,
-    serial correlation of neighbours. Their probabilities are combined by Fisher's method (chi-squared of 6 degrees of freedom).
+    serial correlation of neighbours. Their probabilities are combined by Fisher's method (chi-squared of 6 degrees of freedom),
+    and so are those of a long token's pieces (2 degrees for each, by Wilson-Hilferty).
     """
     sum_ = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     pairs = lambda xs, f: F.zip_with(F.slice(xs, F.lit(2), F.size(xs) - 1), F.slice(xs, F.lit(1), F.size(xs) - 1), f)
     log_p = lambda p: F.log(F.greatest(p, F.lit(1e-12)))
 
-    def tests(encoding: Column, size: Column, codes: Column) -> Column:
+    def tests(size: Column, codes: Column) -> Column:
         n = F.size(codes).cast("double")
         df = size - 1
         squares = sum_(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0))))
@@ -101,6 +104,15 @@ def battery(token: Column) -> Column:
                   lambda d: _let(sum_(F.transform(d, lambda x: x * x)), lambda v: F.when(v > 0, sum_(pairs(d, lambda x, y: x * y)) / v * F.sqrt(n)).otherwise(F.lit(9.0))))
         half = _let(F.struct(z1.alias("a"), F.abs(z2).alias("b"), F.abs(z3).alias("c")), lambda z: -(log_p(_phi_upper(z.a)) + log_p(2 * _phi_upper(z.b)) + log_p(2 * _phi_upper(z.c))))
         p = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        return p
+
+    def in_pieces(encoding: Column, size: Column, codes: Column) -> Column:
+        n = F.size(codes).cast("long")
+        k = F.ceil(n / _PIECE)
+        edge = lambda i: F.floor(i * n / k).cast("int")
+        ps = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: _let(F.slice(codes, edge(i) + 1, edge(i + 1) - edge(i)), lambda c: tests(size, c)))
+        joint = lambda x: _phi_upper((F.pow(-sum_(F.transform(x, log_p)) / k, F.lit(1 / 3)) - (1 - 1 / (9.0 * k))) / F.sqrt(1 / (9.0 * k)))
+        p = F.when(k <= 1, tests(size, codes)).otherwise(_let(ps, joint))
         return F.struct(encoding.alias("encoding"), n.cast("int").alias("n"), p.alias("p"))
 
     name = F.coalesce(*[F.when(token.rlike(rx), F.lit(k)) for k, (rx, _) in ALPHABETS.items()], F.lit("base64"))
@@ -109,7 +121,7 @@ def battery(token: Column) -> Column:
         name,
         lambda e: _let(
             _by_alphabet(e, lambda a: F.lit(a)),
-            lambda alphabet: _let(F.transform(letters, lambda c: F.instr(alphabet, c).cast("double")), lambda codes: tests(e, F.char_length(alphabet).cast("double"), codes)),
+            lambda alphabet: _let(F.transform(letters, lambda c: F.instr(alphabet, c).cast("double")), lambda codes: in_pieces(e, F.char_length(alphabet).cast("double"), codes)),
         ),
     )
 
@@ -120,7 +132,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     span = lambda kind: lambda x: F.struct(x.start.alias("start"), F.lit(kind).alias("kind"), x.stop.alias("stop"))
     assign = F.filter(_places(text, ASSIGN), lambda x: F.char_length(F.regexp_extract(x.match, ASSIGN, 2)) >= 8)
     base = F.concat(F.transform(assign, span(0)), F.transform(_places(text, ACCESS), span(1)), F.transform(_places(text, HEX), span(2)))
-    mixed = F.filter(_places(text, TOKEN), lambda x: x.match.rlike("[0-9]") & x.match.rlike("[A-Za-z]") & (F.char_length(x.match) <= 512))
+    mixed = F.filter(_places(text, TOKEN), lambda x: x.match.rlike("[0-9]") & x.match.rlike("[A-Za-z]"))
     out = docs.withColumn("base", F.array_sort(base)).withColumn("mixed", mixed)
     tests = F.transform("mixed", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"), battery(x.match).alias("t")))
     return out.withColumn("tests", F.transform(tests, lambda x: F.struct(x.start, x.stop, x.t.encoding.alias("encoding"), x.t.n.alias("n"), x.t.p.alias("p")))).drop("mixed")
