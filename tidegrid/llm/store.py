@@ -45,13 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def id_filter(ids: DataFrame, col: str, bits: int = 1 << 20) -> Column:
-    """A condition on column ``col`` that holds for every id in ``ids`` and for few others.
+def id_filter(ids: DataFrame, *cols: str, bits: int = 1 << 20) -> Column:
+    """A condition on columns ``cols`` (of the same types on both sides) that holds for every row of ``ids`` and for few others.
 
     It is a bit map of fixed size (``bits``/8 bytes, whatever the number of ids) placed in the plan; it spares the
     exchange of rows that a following join would drop. When it is full it only stops sparing, so results never depend on it.
     """
-    at = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(bits))
+    at = F.pmod(F.xxhash64(*cols), F.lit(bits))
     rows = (
         ids.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).cast("int").alias("word"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.recompress import anchors
-from tidegrid.llm.store import cut, id_filter
+from tidegrid.llm.store import cut, drop, id_filter
 from tidegrid.llm.tokens import mix, split_words
 
 _P = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -37,19 +37,14 @@ def window_hashes(h: np.ndarray, first: np.ndarray, rows: np.ndarray, window: in
 def _anchor_rows(window: int, rounds: int, cap: int):
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            for w in split_words(b.column(1), lower=False):
+            for w in split_words(b.column(2), lower=False):
                 if not len(w.starts):
                     continue
-                h = w.hashes()
-                a = anchors(h, w.first, window, rounds, cap)
-                # A text's own mark; names that meet one mark only are not shared.
-                c = np.concatenate([[0], np.cumsum(mix(h) * _powers(_P[1], len(h))[:-1])])
-                text = (c[w.first[1:]] - c[w.first[:-1]]) * _powers(np.uint64(pow(int(_P[1]), -1, 1 << 64)), len(h))[w.first[:-1]]
+                a = anchors(w.hashes(), w.first, window, rounds, cap)
+                of = pa.array(a.row + w.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.name.view(np.int64)), pa.array(text[a.row].view(np.int64)), ids.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(a.row)),
-                     pa.array((a.lo - w.first[a.row]).astype(np.int32)), pa.array((a.hi - w.first[a.row]).astype(np.int32))],
-                    ["name", "text", "id", "a", "b"],
+                    [pa.array(a.name.view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array((a.lo - w.first[a.row]).astype(np.int32)), pa.array((a.hi - w.first[a.row]).astype(np.int32))],
+                    ["name", "id", "mark", "a", "b"],
                 )
 
     return run
@@ -58,8 +53,8 @@ def _anchor_rows(window: int, rounds: int, cap: int):
 def _window_rows(window: int):
     def run(batches):
         for b in batches:
-            ids, spans = b.column(0), b.column(2)
-            for w in split_words(b.column(1), lower=False):
+            spans = b.column(3)
+            for w in split_words(b.column(2), lower=False):
                 h = w.hashes()
                 n = len(h)
                 mark = np.zeros(n + 1, np.int64)
@@ -70,10 +65,11 @@ def _window_rows(window: int):
                 np.add.at(mark, flat.field("b").to_numpy() + of + 1, -1)
                 at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 row = w.row_of_word()[at]
+                of = pa.array(row + w.rows.start)
                 x, y = window_hashes(h, w.first, at, window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), ids.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))],
-                    ["x", "y", "id", "at"],
+                    [pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array((at - w.first[row]).astype(np.int32))],
+                    ["x", "y", "id", "mark", "at"],
                 )
 
     return run
@@ -111,31 +107,39 @@ def drop_repeats(
 
     Words are runs of bytes other than space and \\x09-\\x0D. ``kept`` is the remaining words joined by one space, or its
     SHA-256 in hex with texts=False. Null and empty texts have no words. Rows with a null id are dropped. Rows that
-    share an id are one document's: none of them removes words of another. An empty table gives no rows.
+    share an id are one document's: none of them removes words of another, and each is judged by its own text (a row is
+    known by its id and a hash of its text). An empty table gives no rows.
 
     1. Recompression (see recompress) names each text's symbols and picks one for every window, alike for equal windows.
     2. Names that occur in two different texts are found by aggregation; the windows that hold them are candidates.
     3. Candidates are verified by 128 bits over all their words; the smallest id of each is found by aggregation.
     Equal texts are one candidate, the first; the rest go whole if long enough. ``rounds`` and ``cap`` (words in a
     symbol) decide the cost only: any values give the same result.
+
+    What an aggregation finds about a name or a window is written before it is joined back: both sides then come from exchanges
+    of their own, and adaptive execution can split one that a very common passage fills.
     """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(text_col).cast("binary")
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(b""))).alias("mark"), text.alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    named = cut(d.mapInArrow(_anchor_rows(window, rounds, cap), f"name long, text long, id {kind}, a int, b int"), "anchors")
-    shared = named.groupBy("name").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("name")
-    marks = d.select("id", F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("mark"))
-    first = marks.groupBy("mark").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(marks.join(first, "mark").where("id <> first").select("id").distinct(), "copies")
-    spans = named.join(shared, "name").select("id", "a", "b").join(copies, "id", "left_anti")
-    spans = cut(spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    look = d.where(id_filter(spans, "id")).join(spans, "id").select("id", "text", "spans")
-    wins = look.mapInArrow(_window_rows(window), f"x long, y long, id {kind}, at int")
-    least = wins.groupBy("x", "y").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("x", "y", "lo")
-    gone = wins.join(least, ["x", "y"]).where("id > lo").groupBy("id").agg(F.collect_set("at").alias("gone"))
-    gone = gone.select("id", F.lit(False).alias("whole"), "gone")
-    gone = cut(gone.unionByName(copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone"))), "gone")
+    row = ["id", "mark"]
+    named = cut(d.mapInArrow(_anchor_rows(window, rounds, cap), f"name long, id {kind}, mark long, a int, b int"), "anchors")
+    shared = cut(named.groupBy("name").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("name"), "shared")
+    whole = d.select(*row, F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("sha"))
+    first = cut(whole.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha", "first"), "first")
+    copies = cut(whole.join(first, "sha").where("id <> first").select(*row).distinct(), "copies")
+    spans = named.join(shared, "name").select(*row, "a", "b").join(copies, row, "left_anti")
+    spans = cut(spans.groupBy(*row).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    look = d.where(id_filter(spans, *row)).join(spans, row).select(*row, "text", "spans")
+    wins = cut(look.mapInArrow(_window_rows(window), f"x long, y long, id {kind}, mark long, at int"), "windows")
+    least = cut(wins.groupBy("x", "y").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("x", "y", "lo"), "least")
+    gone = wins.join(least, ["x", "y"]).where("id > lo").groupBy(*row).agg(F.collect_set("at").alias("gone"))
+    gone = gone.select(*row, F.lit(False).alias("whole"), "gone")
+    gone = cut(gone.unionByName(copies.select(*row, F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone"))), "gone")
+    for done in (named, shared, first, copies, spans, wins, least):
+        drop(done)
     schema = f"id {kind}, n_words long, n_removed long, kept string"
     run = lambda batches: (_kept(b, window, texts) for b in batches)
-    plain = d.where(~id_filter(gone, "id")).select("id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("gone"))
-    hit = d.where(id_filter(gone, "id")).join(gone, "id", "left").select("id", "text", "whole", "gone")
+    plain = d.where(~id_filter(gone, *row)).select("id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("gone"))
+    hit = d.where(id_filter(gone, *row)).join(gone, row, "left").select("id", "text", "whole", "gone")
     return plain.mapInArrow(run, schema).unionByName(hit.mapInArrow(run, schema))
