@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from tests.llm.test_queries import plain_repeats
-from tidegrid.llm import substring
+from tidegrid.llm import kdshard, substring
 
 A, B, C = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 60), ("c", 70)))
 
@@ -28,3 +28,44 @@ def test_repeats_by_row(spark, rows, kind):
     rows = [(f"{i:05d}" if kind == "string" else i, t) for i, t in rows]
     got = substring.drop_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string"))
     assert Counter((r.id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(plain_repeats(rows))
+
+
+def plain_tree(rows, dims, shards):
+    """{row: shard} of rows (key, size, tie, c0, c1, ...): each list halved at its weighted median along its widest dimension."""
+    if shards == 1 or not rows:
+        return {r[0]: 0 for r in rows}
+    spread = [max(r[3 + i] for r in rows) - min(r[3 + i] for r in rows) for i in range(dims)]
+    axis = spread.index(max(spread))
+    rows = sorted(rows, key=lambda r: (r[3 + axis], r[2]))
+    left = -(-shards // 2)
+    want, total = sum(r[1] for r in rows) * (left / shards), 0
+    for k, r in enumerate(rows):
+        if total + r[1] >= want:
+            k += 0 if total > 0 and want - total < total + r[1] - want else 1
+            break
+        total += r[1]
+    right = plain_tree(rows[k:], dims, shards - left)
+    return plain_tree(rows[:k], dims, left) | {r: left + s for r, s in right.items()}
+
+
+@pytest.mark.parametrize("shards", [1, 5, 8, 12])
+def test_tree_equals_a_plain_one(spark, monkeypatch, shards):
+    monkeypatch.setattr(kdshard, "_COPIES", 16)
+    monkeypatch.setattr(kdshard, "_BUCKETS", 64)
+    docs = spark.createDataFrame([(i % 400, "t" * (i * 7919 % 300), i * 31 % 17, float(i % 5) if i % 9 else None) for i in range(900)] + [(1, "same", 3, 2.0)] * 100, "doc_id long, text string, a int, b double")
+    dims = ["a", "b"]
+    rows = [tuple(r) for r in kdshard._rows(docs, dims, "doc_id", "text").select("id", "text_crc32", "tie", "size", "c0", "c1").collect()]
+    want = plain_tree([((i, crc, n), size, tie, *c) for n, (i, crc, tie, size, *c) in enumerate(rows)], 2, shards)
+    got = kdshard.shard(docs, dims, shards=shards).collect()
+    assert Counter((r.id, r.text_crc32, r.shard) for r in got) == Counter((i, crc, s) for (i, crc, _), s in want.items())
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(shards))
+
+
+def test_repeated_rows_are_split(spark):
+    """700 of 1,000 rows are one row; the law holds all the same."""
+    rows = [(1, "same text", "en")] * 700 + [(i, "other text", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = [r[1] for r in kdshard.shard(docs, ["lang"], shards=16).groupBy("shard").sum("size").collect()]
+    assert len(sums) == 16 and max(sums) - min(sums) <= 4 * 11
+    with pytest.raises(ValueError):
+        kdshard.shard(docs, ["lang"])
