@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zlib
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.eliasfano import EliasFano
-from tidegrid.llm.store import cut, remove, shared_dir
+from tidegrid.llm.store import cut, drop, remove, shared_dir
 from tidegrid.llm.tokens import split_words
 
 #: The hash that stands for a text's end; the context of its first word too.
@@ -49,22 +50,29 @@ def _save(path: str, arrays: dict[str, np.ndarray]) -> None:
         os.replace(part, f"{path}/{k}.npy")
 
 
-_COPIES: dict[str, str] = {}
+#: Files that a worker process keeps open: mapped ones, and such of a store that isn't mounted, which it holds in memory.
+OPEN_FILES, HELD_FILES = 16, 8
+
+
+def _mapped(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
 
 
 def _open(path: str):
-    """Arrays of a folder, memory-mapped; from a store that isn't mounted they are copied to the executor's own disk once."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    if "://" in path:
-        if path not in _COPIES:
-            from pyarrow import fs
+    """Arrays of a folder, memory-mapped; of a store that isn't mounted they are read. Nothing is copied to the executor's own disk."""
+    if _mapped(path):
+        if path.startswith("file:"):
+            path = "/" + path[5:].lstrip("/")
+        return lambda name: np.load(f"{path}/{name}.npy", mmap_mode="r")
+    from pyarrow import fs
 
-            to = tempfile.mkdtemp(prefix="trie-")
-            fs.copy_files(path, to)
-            _COPIES[path] = to
-        path = _COPIES[path]
-    return lambda name: np.load(f"{path}/{name}.npy", mmap_mode="r")
+    store, at = fs.FileSystem.from_uri(path)
+
+    def read(name: str) -> np.ndarray:
+        with store.open_input_file(f"{at}/{name}.npy") as f:
+            return np.load(io.BytesIO(f.read()))
+
+    return read
 
 
 def _sequence(w) -> tuple[np.ndarray, np.ndarray]:
@@ -73,31 +81,35 @@ def _sequence(w) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hashes(), ends, END), w.first + np.arange(len(w.first))
 
 
-def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+def _sum_by_key(keys: np.ndarray, counts: np.ndarray, extra: np.ndarray = np.zeros(0, np.uint16)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys, their counts added up, and of ``extra`` (equal for equal keys) one each."""
+    if not len(keys):
+        return keys, counts, extra
+    order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts, at), extra[order][at] if len(extra) else extra
 
 
 class _Tally:
-    """Keys and counts, merged whenever more than ``most`` new ones have come."""
+    """Keys, counts and a number that goes with each key, merged whenever more than ``most`` new ones have come."""
 
     def __init__(self, most: int = 3_000_000):
-        self.keys, self.counts, self.held, self.most = [], [], 0, most
+        self.held, self.most, self.parts = 0, most, []
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
+    def add(self, keys: np.ndarray, extra: np.ndarray | None = None) -> None:
+        k, at, c = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((k, c, np.zeros(0, np.uint16) if extra is None else extra[at]))
         self.held += len(k)
 
     def full(self) -> bool:
         return self.held > self.most
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = _sum_by_key(np.concatenate(self.keys), np.concatenate(self.counts)) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.keys, self.counts, self.held = [], [], 0
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        out = _sum_by_key(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.held, self.parts = 0, []
         return out
 
 
@@ -119,7 +131,8 @@ class Trie:
     """What a query needs to know beside the files: a few numbers for each file.
 
     ``names``: the files of the first level that have words, ``words``: the first hash of each, ``bases``: words before it. ``cuts``: first key of each file of
-    the second level, a key being context * n_words + word.
+    the second level, a key being context * n_words + word; ``pair_bases``: pairs before it. A pair's number is its place among all
+    pairs; file k of the third level has the words that follow the pairs of file k, ``third`` tells which of these exist.
     """
 
     path: str
@@ -130,11 +143,17 @@ class Trie:
     bases: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     discount: float = 0.5
+    pair_bases: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    third: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     def _files(self, level: int, k: int):
-        cache = self.__dict__.setdefault("_cache", {})
-        if (level, k) not in cache:
-            get = _open(f"{self.path}/{level}-{k if level == 2 else self.names[k]}")
+        cache = self.__dict__.setdefault("_cache", OrderedDict())
+        if (level, k) in cache:
+            cache.move_to_end((level, k))
+        else:
+            if len(cache) >= (OPEN_FILES if _mapped(self.path) else HELD_FILES):
+                cache.popitem(last=False)
+            get = _open(f"{self.path}/{level}-{self.names[k] if level == 1 else k}")
             if level == 1:
                 cache[level, k] = EliasFano.from_arrays(get, "words"), get("counts"), get("prob")
             else:
@@ -172,43 +191,70 @@ class Trie:
                 prob[a:b] = -_STEP * p[ids[a:b] - self.bases[k]].astype(np.float64)
         return counts, prob
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context; arguments sorted by context, then word; -1: not in training."""
+    def pairs(self, context: np.ndarray, word: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each word after its context, the pair's number or -1); arguments sorted by context, then word; -1: not in training."""
         key = context.astype(np.uint64) * np.uint64(self.n_words) + np.maximum(word, 0).astype(np.uint64)
-        out = alone.copy()
+        out, number = alone.copy(), np.full(len(alone), -1, np.int64)
         known = np.flatnonzero(context >= 0)
         if not len(known):
-            return out
+            return out, number
         key, word, c = key[known], word[known], context[known]
-        edges = np.searchsorted(key, self.cuts)
-        for k in range(len(self.cuts)):
-            a, b = edges[k], edges[k + 1] if k + 1 < len(edges) else len(key)
+        edges = np.append(np.searchsorted(key, self.cuts), len(key))
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b:
                 continue
-            begin, keys, prob, bow = self._files(2, k)
             low, at = int(self.cuts[k]), known[a:b]
             of = c[a:b] - low // self.n_words
-            out[at] += -_STEP * bow[of].astype(np.float64)
-            # The pointers of a context bound its followers; the word's key is looked for among these.
-            first, last = begin.get(of), begin.get(of + 1)
-            some = np.flatnonzero((first < last) & (word[a:b] >= 0))
-            i = keys.find(key[a:b][some] - np.uint64(low), first[some], last[some])
-            hit = np.flatnonzero(i >= 0)
-            out[at[some[hit]]] = -_STEP * prob[i[hit]].astype(np.float64)
+            p, i = self._followers(2, k, of, word[a:b], key[a:b] - np.uint64(low), out[at])
+            out[at] = p
+            number[at] = np.where(i >= 0, i + self.pair_bases[k], -1) if len(self.pair_bases) > k else -1
+        return out, number
+
+    def triples(self, pair: np.ndarray, word: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 probability of each word after a pair of words, given by its number, and ``two``: that after the pair's second word alone.
+
+        Arguments sorted by pair, then word. A pair that training never continued says nothing: there ``two`` stands.
+        """
+        out = two.copy()
+        known = np.flatnonzero(pair >= 0)
+        pair, word = pair[known], word[known]
+        edges = np.searchsorted(pair, self.pair_bases)
+        for k in np.flatnonzero(self.third):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                of, at = pair[a:b] - self.pair_bases[k], known[a:b]
+                key = of.astype(np.uint64) * np.uint64(self.n_words) + np.maximum(word[a:b], 0).astype(np.uint64)
+                out[at] = self._followers(3, int(k), of, word[a:b], key, out[at])[0]
         return out
 
+    def _followers(self, level: int, k: int, of: np.ndarray, word: np.ndarray, key: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, index in the file or -1): the pointers of a context bound its followers; the word's key is looked for among these.
+
+        What training did not see there has the probability of the level below times the context's share for it.
+        """
+        begin, keys, prob, bow = self._files(level, k)
+        out = below - _STEP * bow[of].astype(np.float64)
+        index = np.full(len(of), -1, np.int64)
+        first, last = begin.get(of), begin.get(of + 1)
+        some = np.flatnonzero((first < last) & (word >= 0))
+        index[some] = keys.find(key[some], first[some], last[some])
+        hit = np.flatnonzero(index >= 0)
+        out[hit] = -_STEP * prob[index[hit]].astype(np.float64)
+        return out, index
 
-def train(docs: DataFrame, text_col: str = "text") -> Trie:
-    """A bigram trie of all texts, in files below the shared folder.
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> Trie:
+    """A trie of words, pairs and (order 3) triples of all texts, in files below the shared folder.
 
     Tokens are the texts' words (runs of bytes other than space and \\x09-\\x0D, A-Z lower-cased) and an end for each text; null
     and empty texts are an end alone. Probabilities are interpolated absolute discounting over add-one unigrams.
 
-    Level 1 holds the words' hashes, level 2 for each context (a word, by its index in level 1) the words that follow it.
-    Both are Elias-Fano sequences in files of bounded size; a context's followers are found at ``begin`` (monotone pointers)
-    and as one range of keys. Two passes count words and pairs: each task counts what it reads and sends each file's share
-    as one packed row, so an exchange carries a few bytes for each distinct pair and a frequent pair costs no more.
-    A context of very many tokens is spread over several files. No counts are dropped.
+    Level 1 holds the words' hashes, level 2 for each context (a word, by its index in level 1) the words that follow it, level 3
+    for each pair (by its index in level 2) the words that follow that. All are Elias-Fano sequences in files of bounded size; a
+    context's followers are found at ``begin`` (monotone pointers) and as one range of keys. A pass for each level counts: each
+    task counts what it reads and sends each file's share as one packed row, so an exchange carries a few bytes for each
+    distinct pair or triple and a frequent one costs no more. A context of very many tokens is spread over several files. No counts are dropped. Ids are not read; a repeated row counts as
+    often as it comes. 2^32 distinct words or more are an error.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(text_col).cast("binary").alias("text"))
@@ -217,7 +263,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
         tally = _Tally()
 
         def rows():
-            k, c = tally.take()
+            k, c, _ = tally.take()
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
         for b in batches:
@@ -230,6 +276,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
     counts = cut(d.mapInArrow(words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     trie = Trie(shared_dir(spark, "trie"), int(total.n or 0), int(total.v))
+    if trie.n_words >= 1 << 32:
+        raise ValueError(f"{trie.n_words} distinct words: a pair of words must fit 64 bits")
     if not trie.n_words:
         return trie
     # The first level: files by equal ranges of the hash, which is uniform.
@@ -263,13 +311,15 @@ def train(docs: DataFrame, text_col: str = "text") -> Trie:
         parts = -(-c // heavy)
         cuts |= {i * v + j * v // parts for j in range(parts)} | ({(i + 1) * v} if i + 1 < v else set())
     trie.cuts = np.array(sorted(cuts), np.uint64)
-    return _second_level(d, trie)
+    drop(counts)
+    _second_level(d, trie)
+    return _third_level(d, trie) if order > 2 else trie
 
 
 _META1 = pa.schema([("file", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("big", pa.list_(pa.int64())), ("big_c", pa.list_(pa.int64()))])
 
 
-_META2 = pa.schema([("file", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
+_META2 = pa.schema([("file", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("n", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())])
 
 
 def _tokens(w, trie: Trie):
@@ -288,7 +338,7 @@ def _second_level(d: DataFrame, trie: Trie) -> Trie:
         tally = _Tally()
 
         def rows():
-            k, c = tally.take()
+            k, c, _ = tally.take()
             e = np.append(np.searchsorted(k, trie.cuts), len(k))
             some = np.flatnonzero(e[1:] > e[:-1])
             return pa.RecordBatch.from_arrays(
@@ -310,7 +360,7 @@ def _second_level(d: DataFrame, trie: Trie) -> Trie:
         k = key[0].as_py()
         keys = [_unpack(x.as_py()) for x in table.column("keys")]
         counts = [np.diff(_unpack(x.as_py()), prepend=_U0).astype(np.int64) for x in table.column("counts")]
-        keys, counts = _sum_by_key(np.concatenate(keys), np.concatenate(counts))
+        keys, counts, _ = _sum_by_key(np.concatenate(keys), np.concatenate(counts))
         low = int(cuts[k])
         top = int(cuts[k + 1]) if k + 1 < len(cuts) else v * v
         context = (keys // np.uint64(v)).astype(np.int64) - low // v
@@ -320,12 +370,12 @@ def _second_level(d: DataFrame, trie: Trie) -> Trie:
         _save(f"{path}/2-{k}", arrays)
         _save(f"{path}-counts/2-{k}", {"counts": np.frombuffer(zlib.compress(counts.tobytes(), 1), np.uint8)})
         ends = [int(begin[1] - begin[0]), int(begin[-1] - begin[-2])]  # of contexts that may go on in the next files
-        return pa.table({"file": [k], "n1": [int((counts == 1).sum())], "n2": [int((counts == 2).sum())], "head": [ends[0]], "tail": [ends[1]]}, schema=_META2)
+        return pa.table({"file": [k], "n1": [int((counts == 1).sum())], "n2": [int((counts == 2).sum())], "n": [len(keys)], "head": [ends[0]], "tail": [ends[1]]}, schema=_META2)
 
     packed = d.mapInArrow(count, "file int, keys binary, counts binary")
-    got = {r.file: r for r in packed.groupBy("file").applyInArrow(build, "file int, n1 long, n2 long, head long, tail long").collect()}
-    n1, n2 = sum(r.n1 for r in got.values()), sum(r.n2 for r in got.values())
-    trie.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    got = {r.file: r for r in packed.groupBy("file").applyInArrow(build, "file int, n1 long, n2 long, n long, head long, tail long").collect()}
+    trie.discount = _discount(got)
+    trie.pair_bases = np.cumsum([0] + [got[k].n if k in got else 0 for k in range(len(cuts))])
     # Followers of contexts that several files share.
     spread: dict[int, int] = {}
     for k in range(len(cuts)):
@@ -367,12 +417,101 @@ def _second_level(d: DataFrame, trie: Trie) -> Trie:
     return trie
 
 
+def _discount(files: dict) -> float:
+    """Absolute discount from how many entries were counted once and twice (Ney, Essen and Kneser)."""
+    n1, n2 = sum(r.n1 for r in files.values()), sum(r.n2 for r in files.values())
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
+_META3 = pa.schema([("file", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64())])
+
+
+def _seen_pairs(ids: np.ndarray, context: np.ndarray, alone: np.ndarray, first: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its log10 probability after the one before it, and the number of the pair before it (-1 for a row's first token)."""
+    wide = np.uint64(trie.n_words + 1)
+    _, at, back = np.unique((context + 1).astype(np.uint64) * wide + (ids + 1).astype(np.uint64), return_index=True, return_inverse=True)
+    p, number = trie.pairs(context[at], ids[at], alone[at])
+    before = np.full(len(ids), -1, np.int64)
+    before[1:] = number[back[:-1]]
+    before[first[:-1]] = -1
+    return p[back], before
+
+
+def _third_level(d: DataFrame, trie: Trie) -> Trie:
+    """Adds the words that follow each pair. A task knows the probability after the pair's second word, and sends it along."""
+    v, path, bases = trie.n_words, trie.path, trie.pair_bases
+    if (int(bases[-1]) + 1) * (v + 1) >= 1 << 64:
+        raise ValueError(f"{bases[-1]} pairs of {v} words: a triple must fit 64 bits; use order=2")
+    lows = bases.astype(np.uint64) * np.uint64(v)
+
+    def count(batches):
+        tally = _Tally(1_000_000)
+
+        def rows():
+            k, c, p = tally.take()
+            e = np.searchsorted(k, lows)
+            some = np.flatnonzero(e[1:] > e[:-1])
+            part = lambda f: pa.array([f(slice(e[i], e[i + 1])) for i in some], pa.binary())
+            packed = [part(lambda x: _pack(k[x])), part(lambda x: _pack(np.cumsum(c[x]))), part(lambda x: zlib.compress(p[x].tobytes(), 1))]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["file", "keys", "counts", "below"])
+
+        for b in batches:
+            for w in split_words(b.column(0), lower=True):
+                ids, _, alone, context, first = _tokens(w, trie)
+                below, before = _seen_pairs(ids, context, alone, first, trie)
+                some = np.flatnonzero(before >= 0)
+                tally.add(before[some].astype(np.uint64) * np.uint64(v) + ids[some].astype(np.uint64), _quantise(below[some]))
+                if tally.full():
+                    yield rows()
+        yield rows()
+
+    def build(key, table):
+        k = key[0].as_py()
+        keys = np.concatenate([_unpack(x.as_py()) for x in table.column("keys")])
+        counts = np.concatenate([np.diff(_unpack(x.as_py()), prepend=_U0).astype(np.int64) for x in table.column("counts")])
+        below = np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), np.uint16) for x in table.column("below")])
+        keys, counts, below = _sum_by_key(keys, counts, below)
+        n = int(bases[k + 1] - bases[k])
+        keys = keys - lows[k]
+        begin = np.searchsorted((keys // np.uint64(v)).astype(np.int64), np.arange(n + 1))
+        _save(f"{path}/3-{k}", EliasFano.build(keys, n * v).arrays("keys") | EliasFano.build(begin, len(keys) + 1).arrays("begin"))
+        _save(f"{path}-counts/3-{k}", {x: np.frombuffer(zlib.compress(y.tobytes(), 1), np.uint8) for x, y in (("counts", counts), ("below", below))})
+        return pa.table({"file": [k], "n1": [int((counts == 1).sum())], "n2": [int((counts == 2).sum())]}, schema=_META3)
+
+    packed = d.mapInArrow(count, "file int, keys binary, counts binary, below binary")
+    got = {r.file: r for r in packed.groupBy("file").applyInArrow(build, "file int, n1 long, n2 long").collect()}
+    discount = _discount(got)
+
+    def finish(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                get, held = _open(f"{path}/3-{k}"), _open(f"{path}-counts/3-{k}")
+                context = EliasFano.from_arrays(get, "keys").values().astype(np.int64) // v
+                counts = np.frombuffer(zlib.decompress(held("counts").tobytes()), np.int64)
+                below = 10 ** (-_STEP * np.frombuffer(zlib.decompress(held("below").tobytes()), np.uint16).astype(np.float64))
+                n = int(bases[k + 1] - bases[k])
+                total, followers = np.bincount(context, counts, n), np.bincount(context, minlength=n)
+                weight = np.where(followers > 0, discount * followers / np.maximum(total, 1), 1)
+                p = np.maximum(counts - discount, 0) / total[context] + weight[context] * below
+                _save(f"{path}/3-{k}", {"prob": _quantise(np.log10(p)), "bow": _quantise(np.log10(weight))})
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], ["file"])
+
+    files = sorted(got)
+    if files:
+        todo = d.sparkSession.createDataFrame([(k,) for k in files], "file int").repartition(min(len(files), 4096), "file")
+        todo.mapInArrow(finish, "file int").collect()
+        remove(d.sparkSession, f"{path}-counts")
+    trie.third = np.isin(np.arange(len(bases) - 1), files)
+    return trie
+
+
 def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every whole text.
 
     base_score sums log10((c + 1) / (N + V + 1)) over the text's tokens, c being a token's training count; score sums the
-    trie's log10 probabilities of each token after the one before it. A token that training did not have gets the base's
-    probability times the context's share for what never followed it. Null and empty texts are scored as an end alone.
+    trie's log10 probabilities of each token after the two before it. What training did not see after two words has its probability
+    after one, and a token that training did not have the base's, times the contexts' shares for what never followed them. Null and empty texts are scored as an end alone. Ids
+    (null, repeated, of any type) come back as they came, a row for each.
 
     A task sorts the distinct pairs of what it has read, so that it walks through the mapped files in order.
     """
@@ -381,9 +520,13 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for w in split_words(b.column(1), lower=True):
                 ids, counts, alone, context, first = _tokens(w, trie)
-                wide = np.uint64(trie.n_words + 1)
-                each, at, back = np.unique((context + 1).astype(np.uint64) * wide + (ids + 1).astype(np.uint64), return_index=True, return_inverse=True)
-                p = trie.pairs(context[at], ids[at], alone[at])[back]
+                p, before = _seen_pairs(ids, context, alone, first, trie)
+                some = np.flatnonzero(before >= 0)
+                if len(some) and trie.third.any():
+                    key = before[some].astype(np.uint64) * np.uint64(trie.n_words + 1) + (ids[some] + 1).astype(np.uint64)
+                    _, at, back = np.unique(key, return_index=True, return_inverse=True)
+                    at = some[at]
+                    p[some] = trie.triples(before[at], ids[at], p[at])[back]
                 base = np.log10((counts + 1.0) / (trie.n_tokens + trie.n_words + 1.0))
                 at = first[:-1]
                 yield pa.RecordBatch.from_arrays(
