@@ -19,8 +19,12 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings by name: the characters that a token may have and their order; the first that fits counts.
 ALPHABETS = {
+    "digits": ("^[0-9]+$", "0123456789"),
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "hex_upper": ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    "lower": ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    "upper": ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "letters": ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base36": ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     "base62": ("^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
@@ -132,10 +136,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     span = lambda kind: lambda x: F.struct(x.start.alias("start"), F.lit(kind).alias("kind"), x.stop.alias("stop"))
     assign = F.filter(_places(text, ASSIGN), lambda x: F.char_length(F.regexp_extract(x.match, ASSIGN, 2)) >= 8)
     base = F.concat(F.transform(assign, span(0)), F.transform(_places(text, ACCESS), span(1)), F.transform(_places(text, HEX), span(2)))
-    mixed = F.filter(_places(text, TOKEN), lambda x: x.match.rlike("[0-9]") & x.match.rlike("[A-Za-z]"))
-    out = docs.withColumn("base", F.array_sort(base)).withColumn("mixed", mixed)
-    tests = F.transform("mixed", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"), battery(x.match).alias("t")))
-    return out.withColumn("tests", F.transform(tests, lambda x: F.struct(x.start, x.stop, x.t.encoding.alias("encoding"), x.t.n.alias("n"), x.t.p.alias("p")))).drop("mixed")
+    out = docs.withColumn("base", F.array_sort(base)).withColumn("tokens", _places(text, TOKEN))
+    tests = F.transform("tokens", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"), battery(x.match).alias("t")))
+    return out.withColumn("tests", F.transform(tests, lambda x: F.struct(x.start, x.stop, x.t.encoding.alias("encoding"), x.t.n.alias("n"), x.t.p.alias("p")))).drop("tokens")
 
 
 def _length_class(n: Column) -> Column:
@@ -179,7 +182,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """(id, n_assign, n_access, n_hex, n_random, base_sha256, spans): secrets of every whole text.
 
     Kinds: ``assign`` (a name such as password, a sign and a value of 8 or more characters), ``access`` (key ids of 16 or more),
-    ``hex`` (32 or more digits), ``random`` (tokens of 20 or more characters with letters and digits that pass the randomness tests).
+    ``hex`` (32 or more digits), ``random`` (tokens of 20 or more characters that pass the randomness tests).
     Spans are of whole matches, in code points, the end exclusive; kinds may overlap. base_sha256 hashes the first three kinds'
     spans. Null and empty texts have none. Ids are not read; an empty table gives no rows.
     """
@@ -194,12 +197,33 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rate
     tests = cut(scan(docs.select(F.col(text_col).alias("text")), "text").select("tests").where(F.size("tests") > 0), "tests")
     limit = limits(tests, rate)
     names = [c for c in docs.columns]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     found = with_spans(scan(inner, "text"), limit)
-    # Spans sorted by start; each adds what stands between it and the farthest end so far.
-    step = lambda a, x: F.struct(
-        F.when(x.start >= a.at, F.concat(a.out, F.substring(F.col("text"), a.at + 1, x.start - a.at), F.lit(mask))).otherwise(a.out).alias("out"), F.greatest(a.at, x.stop).alias("at")
-    )
-    done = F.aggregate("all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a.out, F.substring(F.col("text"), a.at + 1, F.char_length("text"))))
-    text = F.when(F.size("all") > 0, done).otherwise(F.col("text"))
+    text = F.when(F.size("all") > 0, _masked(F.col("text"), F.col("all"), mask)).otherwise(F.col("text"))
     return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` in place of each span, of overlapping ones once.
+
+    Spans are sorted by start; each adds what stands between it and the farthest end before it. They go in blocks, each of
+    which cuts its own part out of the text first, so that many spans in a long text do not cost their number times its length.
+    """
+    last = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda x: x.stop)), F.lit(0))
+
+    def in_block(begin: Column, block: Column) -> Column:
+        part = F.substring(text, begin + 1, F.element_at(block, -1).start - begin)
+        at = lambda i: F.greatest(begin, last(F.slice(block, F.lit(1), i)))
+        cut_ = lambda p, x, a: F.when(x.start >= a, F.concat(F.substring(p, a - begin + 1, x.start - a), F.lit(mask))).otherwise(F.lit(""))
+        return _let(part, lambda p: F.array_join(F.transform(block, lambda x, i: _let(at(i), lambda a: cut_(p, x, a))), ""))
+
+    n = F.floor((F.size(spans) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(spans, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def joined(b: Column) -> Column:
+        ends = F.transform(b, last)
+        begins = _let(ends, lambda e: F.transform(e, lambda _, i: F.coalesce(F.array_max(F.slice(e, F.lit(1), i)), F.lit(0))))
+        rest = F.substring(text, last(spans) + 1, F.char_length(text))
+        return F.concat(F.array_join(F.zip_with(begins, b, in_block), ""), rest)
+
+    return _let(blocks, joined)
