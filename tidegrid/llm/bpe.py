@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,21 +17,32 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.tokens import keep_only, slices
 
-#: Entries that a worker's memo tables may hold before they start anew; bounds memory, never results.
+#: What a worker's memo table may hold before it starts anew, in entries and in bytes, and the longest argument that it keeps at all;
+#: they bound memory, never results.
 MEMO = 300_000
+MEMO_BYTES = 64 << 20
+MEMO_ARGUMENT = 256
+#: Bytes of a piece for which matches are looked up at once; a longer piece goes through them block by block.
+BLOCK = 1 << 14
 
 
 class Memo(dict):
-    """A function's values by argument; emptied when it holds ``most`` entries."""
+    """A function's values by argument; emptied when it holds too much."""
 
     def __init__(self, f, most: int = MEMO):
         super().__init__()
-        self.f, self.most = f, most
+        self.f, self.most, self.bytes = f, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        v = self.f(key)
+        if isinstance(key, str):
+            if len(key) > MEMO_ARGUMENT:
+                return v
+            self.bytes += len(key) + len(v) + 200
+        if len(self) >= self.most or self.bytes > MEMO_BYTES:
             self.clear()
-        v = self[key] = self.f(key)
+            self.bytes = 0
+        self[key] = v
         return v
 
 
@@ -58,6 +70,7 @@ class Bpe:
             if self.merge(token) == [i]:  # others never come out of merging
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, ranks), default=1)
         self.fits = Memo(self._fits, MEMO * 2 // 3)
         self.piece = Memo(self._piece, MEMO * 2 // 3)
         self.chunk = Memo(self._chunk)
@@ -80,11 +93,13 @@ class Bpe:
     def _fits(self, pair: tuple[int, int]) -> bool:
         return self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]) == list(pair)
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: bytes) -> list[int] | array:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
+        if n > BLOCK:
+            return self._encode_long(piece)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
             at[end + 1 - size].append((i, size))
@@ -112,9 +127,49 @@ class Bpe:
                 k -= 1
         return [x[0] for x in out]
 
+    def _encode_long(self, piece: bytes) -> array:
+        """The same for a piece of any length: tokens and choices in flat arrays, matches of the last few blocks only."""
+        n, longest = len(piece), self.longest
+        blocks: dict[int, list[list[tuple[int, int]]]] = {}
+
+        def matches(pos: int) -> list[tuple[int, int]]:
+            b = pos // BLOCK
+            got = blocks.get(b)
+            if got is None:
+                if len(blocks) >= 4:
+                    del blocks[min(blocks) if b > min(blocks) else max(blocks)]
+                begin = b * BLOCK
+                got = blocks[b] = [[] for _ in range(min(BLOCK, n - begin))]
+                for end, (i, size) in self.automaton.iter(piece[begin : begin + BLOCK + longest].decode("latin-1")):
+                    if end + 1 - size < len(got):
+                        got[end + 1 - size].append((i, size))
+            return got[pos - b * BLOCK]
+
+        tokens, choices, dead = array("I"), array("H"), bytearray(n + 1)
+        fits, sizes, pos = self.fits, self.tokens, 0
+        k = len(matches(0)) - 1
+        while pos < n:
+            last = tokens[-1] if tokens else None
+            found = matches(pos)
+            while k >= 0:
+                i, size = found[k]
+                if not dead[pos + size] and (last is None or fits[last, i]):
+                    break
+                k -= 1
+            if k >= 0:
+                tokens.append(i)
+                choices.append(k)
+                pos += size
+                k = len(matches(pos)) - 1 if pos < n else 0
+            else:
+                dead[pos] = 1
+                pos -= len(sizes[tokens.pop()])
+                k = choices.pop() - 1
+        return tokens
+
     def _piece(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return ids.tobytes() if isinstance(ids, array) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, text: str) -> bytes:
         return b"".join([self.piece[x] for x in self.split(text)])
