@@ -29,18 +29,38 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) ->
     return c
 
 
-def cells(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell, cells where a unit vector's partners may be at home): the second is a boolean matrix without the home.
+def centroids_of(x: np.ndarray, k: int, wide: int = 1024) -> np.ndarray:
+    """k unit centroids or a few less; more than ``wide`` are learned in two steps, cells of cells, so that the work grows with k's root."""
+    if k <= wide:
+        return spherical_kmeans(x, k)
+    top = spherical_kmeans(x, int(np.sqrt(k)))
+    own = np.concatenate([(x[i : i + 4096] @ top.T).argmax(1) for i in range(0, len(x), 4096)])
+    parts = [x[own == j] for j in range(len(top))]
+    return np.concatenate([spherical_kmeans(part, max(1, round(k * len(part) / len(x)))) for part in parts if len(part)])
+
+
+def cells(x: np.ndarray, c: np.ndarray, threshold: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell, other cells): for each unit vector its nearest cell, and of the cells where its partners may be at home the
+    ``probes`` nearest, -1 beyond the last.
 
     A partner at cosine ``threshold`` or more lies within the chord sqrt(2 - 2 * threshold); if it is at home in another
     cell, the vector is no farther than that from the plane that halves the way between both centroids.
     """
-    sims = x @ c.T
-    home = sims.argmax(1)
-    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home] if len(c) <= 256 else np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))
-    near = sims[np.arange(len(x)), home][:, None] - sims <= apart * np.sqrt(2 - 2 * threshold) + 1e-9
-    near[np.arange(len(x)), home] = False
-    return home, near
+    home, other = np.zeros(len(x), np.int64), np.full((len(x), probes), -1, np.int64)
+    step, probes = max(16, (1 << 22) // len(c)), min(probes, len(c) - 1)
+    for i in range(0, len(x), step):
+        sims = x[i : i + step] @ c.T
+        rows = np.arange(len(sims))
+        home[i : i + step] = own = sims.argmax(1)
+        if probes <= 0:
+            continue
+        gap = sims[rows, own][:, None] - sims
+        gap[rows, own] = np.inf
+        near = np.argpartition(gap, probes - 1, axis=1)[:, :probes]
+        gap = gap[rows[:, None], near]
+        apart = np.linalg.norm(c[own][:, None] - c[near], axis=2)
+        other[i : i + step, :probes] = np.where(gap <= apart * np.sqrt(2 - 2 * threshold) + 1e-9, near, -1)
+    return home, other
 
 
 def local_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -65,16 +85,19 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, sample: int = 20_000, per_cell: int = 8192, block: int = 8192, max_cells: int = 4096
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, sample: int = 20_000, per_cell: int = 8192, block: int = 8192, probes: int = 8, max_cells: int = 65_536
 ) -> DataFrame:
     """(id, n_links, component_id, kept): every vector's links at cosine ``threshold`` or more and its group's smallest id.
 
-    All links are found: a vector is compared with all others that its cell or, near a border, another cell holds (see
-    cells). Vectors that are null, empty, zero or have null or non-finite components link with nothing, vectors of
+    A vector is compared with all others at home in its cell and in those of the ``probes`` nearest other cells that a partner
+    may be in (see cells); both of a pair look for the other. So all links are found while a vector is near no more borders than
+    that, always so with ``probes`` + 1 cells or fewer, and a vector has at most ``probes`` + 1 entries whatever the number
+    of cells; the README has the recall beyond. Each link that is found counts for both. Vectors that are null, empty, zero or have null or non-finite components link with nothing, vectors of
     different lengths not with each other. Null ids are dropped. An empty table gives no rows.
 
-    Equal vectors are one row with a count, so copies cost nothing. Centroids are learned from at most ``sample`` rows
-    (by a hash of the id); every row is assigned. Cells larger than ``block`` are compared block by block, each pair of blocks in
+    Equal vectors are one row with a count, so copies cost nothing. Cells are as many as make ``per_cell`` rows
+    each, up to ``max_cells``; centroids are learned from at most ``sample`` rows, or 4 for each cell if that is more (by a hash
+    of the id); every row is assigned. Cells larger than ``block`` are compared block by block, each pair of blocks in
     a group of its own; a block pair returns sums and a spanning forest, never its pairs.
     """
     v = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
@@ -87,11 +110,14 @@ def near_duplicates(
     for dim in sorted(dims):
         of = classes.where(F.size("v") == dim)
         n = of.count()
-        some = of.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow()
+        k = max(1, min(max_cells, -(-n // per_cell)))
+        most, key = max(sample, 4 * k), F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+        few = of if n <= most else of.where(key <= int((2 * most << 30) / n))  # some more than are wanted, so that no task sorts them all
+        some = few.orderBy(key, "rep").limit(most).select("v").toArrow()
         x = _matrix(some.column(0).combine_chunks())
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = spherical_kmeans(x, max(1, min(max_cells, -(-n // per_cell))))
+        c = centroids_of(x, k)
         centroids.append((dim, c, first))
         first += len(c)
     by_dim = {dim: (c, at) for dim, c, at in centroids}
@@ -105,23 +131,25 @@ def near_duplicates(
                 x = _matrix(part.column(0))
                 x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                home, near = cells(x, c, threshold)
-                row, other = np.nonzero(near)
-                row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, other]) + at
-                flag = np.arange(len(row)) < len(x)
+                home, other = cells(x, c, threshold, probes)
+                row, k = np.nonzero(other >= 0)
+                cell = np.concatenate([home, other[row, k]]) + at
+                row, flag = np.concatenate([np.arange(len(x)), row]), np.arange(len(cell)) < len(x)
+                lists = np.where(other >= 0, other + at, -1)
                 for s in range(0, len(row), 4096):
-                    r = row[s : s + 4096]
+                    r, own = row[s : s + 4096], flag[s : s + 4096]
                     vecs = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * int(dim)), pa.array(x[r].reshape(-1)))
+                    looks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own * probes)]).astype(np.int32)), pa.array(lists[r[own]].reshape(-1).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell[s : s + 4096].astype(np.int32)), pa.array(flag[s : s + 4096]), part.column(1).take(pa.array(r)), part.column(2).take(pa.array(r)), vecs], ["cell", "home", "rep", "n", "v"]
+                        [pa.array(cell[s : s + 4096].astype(np.int32)), pa.array((home[r] + at).astype(np.int32)), part.column(1).take(pa.array(r)), part.column(2).take(pa.array(r)), looks, vecs], ["cell", "home", "rep", "n", "looks", "v"]
                     )
 
-    rows = cut(classes.select("v", "rep", "n").mapInArrow(assign, "cell int, home boolean, rep long, n long, v array<double>"), "cells")
-    sizes = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")) / block)).cast("int").alias("down"), F.ceil(F.count("*") / block).cast("int").alias("across"))
+    rows = cut(classes.select("v", "rep", "n").mapInArrow(assign, "cell int, home int, rep long, n long, looks array<int>, v array<double>"), "cells")
+    sizes = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum((F.col("home") == F.col("cell")).cast("int")) / block)).cast("int").alias("down"), F.ceil(F.count("*") / block).cast("int").alias("across"))
     dealt = rows.join(sizes, "cell")
     at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    left = dealt.where("home").select("cell", at(1, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "n", "v")
-    right = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), at(2, "across").alias("j"), F.lit(False).alias("left"), "rep", "n", "v")
+    left = dealt.where("home = cell").select("cell", at(1, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(True).alias("left"), "home", "rep", "n", "looks", "v")
+    right = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), at(2, "across").alias("j"), F.lit(False).alias("left"), "home", "rep", "n", F.lit(None).cast("array<int>").alias("looks"), "v")
 
     def compare(key, table):
         table = table.combine_chunks()
@@ -131,7 +159,10 @@ def near_duplicates(
         if not len(a) or not len(b):
             return pa.table({"rep": none, "links": none, "root": none})
         x, y = (_matrix(t.column("v").combine_chunks()) for t in (a, b))
-        ra, rb, n = a.column("rep").to_numpy(), b.column("rep").to_numpy(), b.column("n").to_numpy()
+        ra, rb, na, nb = (t.column(c).to_numpy() for c in ("rep", "n") for t in (a, b))
+        home = b.column("home").to_numpy()
+        looks = a.column("looks").combine_chunks().flatten().to_numpy().reshape(len(a), -1)
+        looks = np.concatenate([looks, a.column("cell").to_numpy()[:, None]], axis=1)
         reps = np.unique(np.concatenate([ra, rb]))
         pa_, pb = np.searchsorted(reps, ra), np.searchsorted(reps, rb)
         links, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
@@ -139,7 +170,10 @@ def near_duplicates(
             hit = (x[s : s + 256] @ y.T >= threshold) & (ra[s : s + 256, None] != rb[None])
             i, j = np.nonzero(hit)
             if len(i):
-                links[pa_[s : s + 256]] += hit @ n
+                links[pa_[s : s + 256]] += hit @ nb
+                # A partner that this vector does not look for in its own cell would not hear of the link there.
+                back = np.flatnonzero((looks[s + i] != home[j][:, None]).all(1))
+                np.add.at(links, pb[j[back]], na[s + i[back]])
                 root = local_roots(root[pa_[s + i]], root[pb[j]], len(reps))[root]
         root = reps[root]
         return pa.table({"rep": reps, "links": links, "root": root})
