@@ -9,31 +9,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.store import cut, id_filter
+from tidegrid.llm.store import cut, drop, id_filter
 from tidegrid.llm.tokens import mix, split_words
 
-#: Token positions that count (1) and that are ignored (0). The first finds any 6 words in a row; the others span 9 to 13
-#: words, so that a changed word falls on an ignored position of one of them.
-MASKS = ("111111", "110100111", "11100010011", "1010010001111")
+#: Token positions that count (1) and that are ignored (0). An aligned stretch of 13 words or more of which 80 % are equal has
+#: four equal words in a row, or else all its equal words in runs of three between single others, so one of these masks
+#: always fits; together they fit it in two places or more.
+MASKS = ("1111", "1110111")
+SUPPORT = 2
+#: Masks of items of so many words, all of which must be aligned; what these lack the masks above find.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "11101", "10111"), 6: ("111011", "110111"), 10: ("1110110111",)}
 
 #: A word, as split_words(alnum=True) has it.
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _seed_rows(masks: tuple[str, ...], table: np.ndarray | None):
-    """Rows (seed, id, at): the masked hashes of a text's words; with a table only those whose slot in it is set."""
+def _seed_rows(masks: tuple[str, ...], table: np.ndarray | None, short: dict[int, tuple[str, ...]]):
+    """Rows (seed, id, at, words): the masked hashes of a text's words and how many words it has. With a table, those whose slot in it is
+    set, for all masks; without, those of ``short`` masks for texts of just so many words only."""
+    small = {m: n for n, ms in short.items() for m in ms if m not in masks}
 
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for w in split_words(b.column(1), lower=False, alnum=True):
                 h, row = w.hashes(), w.row_of_word()
-                for k, mask in enumerate(masks):
+                words = np.diff(w.first)
+                for mask in (*masks, *small):
                     n = len(h) - len(mask) + 1
                     if n <= 0:
                         continue
-                    x = np.full(n, mix(np.full(1, k + 1, np.uint64))[0])
+                    x = np.full(n, mix(np.full(1, int("1" + mask, 2), np.uint64))[0])
                     for j, c in enumerate(mask):
                         if c == "1":
                             x = (x ^ h[j : j + n]) * _P
@@ -42,19 +49,19 @@ def _seed_rows(masks: tuple[str, ...], table: np.ndarray | None):
                     if table is not None:
                         slot = x >> np.uint64(40)
                         ok &= (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    elif mask in small:
+                        ok &= words[row[:n]] == small[mask]
                     at = np.flatnonzero(ok)
                     if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x[at].view(np.int64)), ids.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(row[at])), pa.array((at - w.first[row[at]]).astype(np.int32))],
-                            ["seed", "id", "at"],
-                        )
+                        of = ids.slice(w.rows.start, w.rows.stop - w.rows.start).take(pa.array(row[at]))
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), of, pa.array((at - w.first[row[at]]).astype(np.int32)), pa.array(words[row[at]].astype(np.int32))], ["seed", "id", "at", "words"])
 
     return run
 
 
-def _seeds(rows: DataFrame, masks: tuple[str, ...], table: np.ndarray | None = None) -> DataFrame:
+def _seeds(rows: DataFrame, masks: tuple[str, ...], short: dict[int, tuple[str, ...]], table: np.ndarray | None = None) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_seed_rows(masks, table), f"seed long, id {kind}, at int")
+    return rows.mapInArrow(_seed_rows(masks, table, short), f"seed long, id {kind}, at int, words int")
 
 
 def slot_table(seeds: DataFrame) -> np.ndarray:
@@ -93,16 +100,17 @@ def _verify(min_words: int, share: float):
             out = []
             for id_, item, shifts, text, probe in zip(*(b.column(k).to_pylist() for k in range(5))):
                 w, p = _WORDS.findall(text), _WORDS.findall(probe)
-                top = (0, 0, 0, 0)
+                top, need = (0, 0, 0), min(min_words, len(p))
                 for s in shifts:
                     lo, hi = max(0, -s), min(len(p), len(w) - s)
                     if hi - lo <= top[0]:
                         continue
                     n, x, y = best(np.fromiter((w[s + i] == p[i] for i in range(lo, hi)), bool, hi - lo))
-                    if n > top[0]:
-                        top = (n, s + lo + x, s + lo + y, s)
-                need = min(min_words, len(p))
-                if top[0] >= max(1, share * need) and top[2] - top[1] >= need:
+                    # Past its last agreeing words a stretch goes on while the share holds, if that makes it long enough.
+                    if n > top[0] and n >= max(1, share * need - 1e-9) and hi - lo >= need and int(n / share + 1e-9) >= need:
+                        y = max(y, min(hi - lo, x + need))
+                        top = (n, s + lo + min(x, y - need), s + lo + y)
+                if top[0]:
                     out.append((id_, item, top[1], top[2], top[0], len(p)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, (b.schema.field(0).type, b.schema.field(1).type, pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["id", "item", "begin", "stop", "n_equal", "item_words"])
 
@@ -111,26 +119,30 @@ def _verify(min_words: int, share: float):
 
 def overlaps(
     docs: DataFrame, probes: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", probe_col: str = "text",
-    masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.8,
+    masks: tuple[str, ...] = MASKS, support: int = SUPPORT, min_words: int = 13, share: float = 0.8,
 ) -> DataFrame:
     """(id, item, begin, stop, n_equal, item_words): texts that hold a passage of a probe, and the longest such passage.
 
     A passage is an aligned stretch of ``min_words`` words (the whole probe if shorter) or more of which ``share`` or more
     are equal; words are runs of letters and digits (of any alphabet) in lower case. Empty and null texts and probes
-    match nothing; rows with a null id are dropped; repeated ids count as one text each. Probes of fewer words
-    than the shortest mask cannot be found.
+    match nothing; rows with a null id are dropped; repeated ids count as one text each, a repeated probe as one.
 
-    Fixed masks choose the words that are hashed, so a substituted word between them does not hide a passage. A bit map
-    of 2 MB (its size does not depend on the probes) drops most training hashes where they arise; the rest
-    join the probes' hashes by an ordinary equi-join, and what meets is verified word by word on the texts.
+    Fixed masks choose the words that are hashed, so a substituted word between them does not hide a passage. With the default
+    masks, min_words and share none is missed, of probes of any length. A bit map of 2 MB (its size does not depend on the
+    probes) drops most training hashes where they arise; the rest join the probes' hashes by an ordinary equi-join, of
+    which adaptive execution can split a frequent hash; alignments with ``support`` hits (one for probes shorter than
+    min_words) are verified word by word on the texts.
     """
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.lower(text_col), F.lit("")).cast("binary").alias("text"))
-    p = probes.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.coalesce(F.lower(probe_col), F.lit("")).cast("binary").alias("text"))
-    seeds = _seeds(p, masks)
+    p = probes.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("id"), F.coalesce(F.lower(probe_col), F.lit("")).cast("binary").alias("text")).distinct()
+    seeds = cut(_seeds(p, masks, SHORT), "seeds")
     table = slot_table(seeds)
-    keys = seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("from")).distinct()
-    hits = _seeds(d, masks, table).join(keys, "seed").select("id", "item", (F.col("at") - F.col("from")).alias("shift"))
-    hits = cut(hits.groupBy("id", "item").agg(F.collect_set("shift").alias("shifts")), "hits")
+    present = {r.words for r in seeds.where(F.col("words") < min_words).select("words").distinct().collect()}  # at most min_words - 1 numbers
+    keys = seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("from"), F.when(F.col("words") < min_words, 1).otherwise(support).alias("support")).distinct()
+    hits = _seeds(d, masks, {n: m for n, m in SHORT.items() if n in present}, table).join(keys, "seed").groupBy("id", "item", (F.col("at") - F.col("from")).alias("shift"))
+    hits = hits.agg(F.count("*").alias("n"), F.min("support").alias("support")).where("n >= support")
+    hits = cut(hits.groupBy("id", "item").agg(F.collect_list("shift").alias("shifts")), "hits")
+    drop(seeds)
     pairs = d.where(id_filter(hits, "id")).join(hits, "id").join(p.select(F.col("id").alias("item"), F.col("text").alias("probe")), "item")
     kinds = (d.schema["id"].dataType.simpleString(), p.schema["id"].dataType.simpleString())
     return pairs.select("id", "item", "shifts", "text", "probe").mapInArrow(
