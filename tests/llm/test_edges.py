@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.test_queries import plain_repeats
-from tidegrid.llm import kdshard, substring
+from tidegrid.llm import decontam, kdshard, semdedup, simhash, substring
 
 A, B, C = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 60), ("c", 70)))
 
@@ -69,3 +74,80 @@ def test_repeated_rows_are_split(spark):
     assert len(sums) == 16 and max(sums) - min(sums) <= 4 * 11
     with pytest.raises(ValueError):
         kdshard.shard(docs, ["lang"])
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, two texts under one id, a copy under another id, a null id."""
+    near = A.replace("a7 ", "changed ")
+    rows = [(5, A), (5, A), (5, B), (6, near), (7, B), (8, C), (8, A), (None, A), (None, A), (9, None), (9, "")]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t, "x") for i, t in rows], f"doc_id {kind}, text string, first string")
+        got = [(r.doc_id and int(r.doc_id), r.text or "") for r in simhash.drop_near_copies(docs).collect()]
+        assert sorted(got, key=str) == sorted([(5, A), (5, B), (8, C), (None, A), (None, A), (9, "")], key=str)
+
+
+def fits(stretch, mask):
+    return sum(all(stretch[i + j] for j, c in enumerate(mask) if c == "1") for i in range(len(stretch) - len(mask) + 1))
+
+
+def test_masks_miss_no_passage():
+    """Every way to change words of a short item or of a passage: a mask fits, and for passages masks fit as often as is asked for."""
+    for n in range(1, 19):
+        least = math.ceil(0.8 * n - 1e-9)
+        for changed in (c for k in range(n - least + 1) for c in itertools.combinations(range(n), k)):
+            same = [i not in changed for i in range(n)]
+            hits = sum(fits(same, m) for m in decontam.MASKS)
+            if n < 13:
+                assert hits or any(fits(same, m) for m in decontam.SHORT.get(n, ()))
+            else:
+                assert hits >= decontam.SUPPORT
+
+
+def plain_overlaps(texts, probes):
+    """{(id, item): most equal words of a passage} by all alignments and all stretches."""
+    words = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower())
+    out = {}
+    for (i, t), (k, q) in itertools.product(texts, probes):
+        w, p = words(t), words(q)
+        need = min(13, len(p))
+        for shift in range(1 - len(p), len(w)) if p else ():
+            same = np.cumsum([0] + [w[shift + j] == p[j] for j in range(len(p)) if 0 <= shift + j < len(w)])
+            size = np.arange(len(same))
+            equal, length = same[None] - same[:, None], size[None] - size[:, None]
+            good = equal[(length >= need) & (equal >= 0.8 * length - 1e-9) & (equal > 0)]
+            if len(good):
+                out[i, k] = max(out.get((i, k), 0), int(good.max()))
+    return out
+
+
+def test_overlaps_equal_all_alignments(spark):
+    """Probes of 1 to 40 words, changed words anywhere, ends too; repetitive texts; a text of one word."""
+    rng = random.Random(11)
+    probes = [(n, " ".join(f"p{n}x{rng.randrange(6 if n % 5 == 0 else 10**6)}" for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 25, 30, 40)]
+    texts = []
+    for n, q in probes:
+        for k in range(12):
+            w = q.split()
+            for i in rng.sample(range(n), min(n, rng.randint(0, math.ceil(0.3 * n)))):
+                w[i] = f"c{rng.randrange(10**6)}"
+            texts.append((100 * n + k, " ".join([f"d{rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))] + w + [f"d{rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))])))
+    texts += [(9000, probes[4][1].split()[0] + " " + probes[9][1] * 30), (9001, "P1x0 p1X0"), (9002, probes[0][1])]
+    got = decontam.overlaps(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(probes, "item_id long, text string")).collect()
+    assert {(r.id, r.item): r.n_equal for r in got} == plain_overlaps(texts, probes)
+    lengths = {n: len(q.split()) for n, q in probes}
+    assert len(got) > 100 and all(r.n_equal >= 0.8 * (r.stop - r.begin) - 1e-9 and r.stop - r.begin >= min(13, lengths[r.item]) == min(13, r.item_words) for r in got)
+
+
+def test_links_count_for_both(spark):
+    """With a bounded number of cells looked into, a link found from one side counts for both, and nearly all are found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    x = np.concatenate([x, x[:700] + rng.normal(size=(700, 24)) * 0.2])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    for probes, share in ((40, 1.0), (8, 0.98), (3, 0.9)):
+        got = {r.id: r.n_links for r in semdedup.near_duplicates(df, per_cell=60, block=30, probes=probes).collect()}
+        n = np.array([got[i] for i in range(len(x))])
+        assert (n <= hit.sum(1)).all() and n.sum() >= share * hit.sum() and n.sum() % 2 == 0
