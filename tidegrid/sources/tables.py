@@ -42,25 +42,37 @@ def read(spark: SparkSession, path: str, name: str, months: list[str] | None = N
     return (t if months is None else t.where(F.col("month").isin(months))).select(schema.columns)
 
 
+def missing(spark: SparkSession, path: str, names: list[str]) -> list[str]:
+    """Which of the tables a store lacks."""
+    return [n for n in names if not _exists(spark, f"{path}/{n}")]
+
+
 def put(df: DataFrame, path: str, name: str) -> None:
     """Writes a raw table, or replaces the months of it that df has, all rows of which df must hold.
 
-    The rows are written aside first: they may have been read from the very files that they replace.
+    The rows are written aside first: they may have been read from the very files that they replace. Adaptive execution
+    deals a month to as many tasks as its size asks for; rows lie in the order of the key inside a file.
     """
     if _month(name) is None:
         return write(df, path, name)
     spark, aside = df.sparkSession, f"{path}/{name}.new"
-    df.withColumn("month", _month(name)).repartition("month").write.mode("overwrite").parquet(aside)
-    rows = spark.read.parquet(aside)
+    dealt = df.withColumn("month", _month(name)).hint("rebalance", "month")
+    dealt.write.mode("overwrite").parquet(aside)
+    rows = spark.read.parquet(aside).hint("rebalance", "month").sortWithinPartitions("month", *RAW[name][1])
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{path}/{name}")
     p = spark._jvm.org.apache.hadoop.fs.Path(aside)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def latest(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row a key: the last by ``order``. An aggregation, not a window, so a frequent key is combined where it is read."""
+    """One row a key: the last by ``order`` (nulls first), of equals the last in the order of the input.
+
+    An aggregation, not a window, so a frequent key is combined where it is read.
+    """
     rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    at = F.struct(F.col(order), F.col("_at"))
+    last = batch.withColumn("_at", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("r"))
+    return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
@@ -80,15 +92,25 @@ def upsert_plain(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def write(df: DataFrame, path: str, name: str) -> None:
-    """Replaces a table as a whole: written aside, then renamed, so that a failed write leaves the old one."""
+def write(df: DataFrame, path: str, name: str, by: list[str] = ()) -> None:
+    """Replaces a table as a whole, rows ordered ``by`` inside its files.
+
+    It is written aside; then the old one is renamed out of the way and comes back if the new one can't take its name. A table is thus
+    never lost, and one that a broken run left out of the way is put back by the next.
+    """
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    df.write.mode("overwrite").parquet(f"{path}/{name}.new")
-    fs = fs_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(fs_path(f"{path}/{name}"), True)
-    if not fs.rename(fs_path(f"{path}/{name}.new"), fs_path(f"{path}/{name}")):
+    at = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{suffix}")
+    fs = at().getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(at(".old")) and not fs.exists(at()):
+        fs.rename(at(".old"), at())
+    (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{path}/{name}.new")
+    fs.delete(at(".old"), True)
+    if fs.exists(at()) and not fs.rename(at(), at(".old")):
+        raise OSError(f"{path}/{name} could not be moved")
+    if not fs.rename(at(".new"), at()):
+        fs.rename(at(".old"), at())
         raise OSError(f"{path}/{name} could not be replaced")
+    fs.delete(at(".old"), True)
 
 
 def load(spark: SparkSession, path: str, name: str, batch: DataFrame) -> int:
@@ -112,9 +134,15 @@ def settled(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("actual_gco2").isNotNull() | (F.col("ingested_at_utc") >= F.col("period_end_utc") + F.expr("interval 2 days"))).select("period_start_utc")
 
 
-def complete(raw: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Keys with all their lead days."""
-    return raw.groupBy(*keys).agg(F.countDistinct("lead_days").alias("n")).where(F.col("n") == n).select(*keys)
+def complete(raw: DataFrame, keys: list[str], lead_days: tuple[int, ...]) -> DataFrame:
+    """Keys of which all these lead days are there."""
+    found = F.count_distinct(F.when(F.col("lead_days").isin(*lead_days), F.col("lead_days")))
+    return raw.groupBy(*keys).agg(found.alias("n")).where(F.col("n") == len(set(lead_days))).select(*keys)
+
+
+def locations(spark: SparkSession, path: str, sites: list[tuple]) -> int:
+    """Upserts the sites (id, name, role, latitude, longitude) into raw_weather_locations; their number."""
+    return load(spark, path, "raw_weather_locations", spark.createDataFrame([tuple(x) for x in sites], RAW["raw_weather_locations"][0]))
 
 
 def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
