@@ -29,13 +29,54 @@ def score_by(df: DataFrame, models: list[str], by: list[str] = (), reference: st
     return m.withColumn("skill", 1 - safe_div(F.col("mae"), F.nullif(ref, F.lit(0.0))))
 
 
+def kth(rows: DataFrame, value: str, wanted: DataFrame, by: list[str] = (), passes: int = 2, buckets: int = 4096) -> DataFrame:
+    """(by, tag, value): the k-th smallest value (from 1) of each group, for wanted(by, tag, k). No group is sorted by one task.
+
+    Each pass counts the rows of equal parts of the range that is left and keeps the part with the k-th; only what is
+    left after the last pass, a share of 1 in ``buckets`` to the ``passes`` of evenly spread values, is ranked. Nulls don't count.
+    """
+    by = list(by)
+    x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    none = F.lit(0).cast("long")
+    ends = x.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all"))
+    s = (wanted.join(ends, by) if by else wanted.crossJoin(F.broadcast(ends))).where("k between 1 and _all").withColumn("_before", none).drop("_all")
+
+    def inside(state: DataFrame) -> DataFrame:
+        both = x.join(state, by) if by else x.crossJoin(F.broadcast(state))  # without groups the state is a row for each tag
+        return both.where("_v between _lo and _hi")
+
+    for _ in range(passes):
+        width = (F.col("_hi") - F.col("_lo")) / buckets
+        at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(none)
+        n = inside(s).groupBy(*by, "tag", "k", "_before", at.alias("_b")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "tag").orderBy("_b"))
+        s = n.withColumn("_upto", upto).where("_upto >= k and _upto - _n < k").select(*by, "tag", "k", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*by, "tag").orderBy("_v"))
+    ranked = inside(s.where("_lo < _hi")).withColumn("_r", rank + F.col("_before")).where("_r = k").select(*by, "tag", F.col("_v").alias(value))
+    return s.where("_lo = _hi").select(*by, "tag", F.col("_lo").alias(value)).unionByName(ranked)
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """(by, and a column for each name in ``shares``): exact quantiles, between the two nearest values by interpolation."""
+    by = list(by)
+    n = rows.groupBy(*by).agg(F.count(value).alias("_n")).where("_n > 0")
+    place = {c: (F.col("_n") - 1) * F.lit(float(q)) for c, q in shares.items()}
+    tags = [F.struct(F.lit(f"{c}{side}").alias("tag"), (f(p) + 1).cast("long").alias("k")) for c, p in place.items() for side, f in (("<", F.floor), (">", F.ceil))]
+    found = kth(rows, value, n.select(*by, F.inline(F.array(*tags))), by)
+    at = lambda tag: F.max(F.when(F.col("tag") == tag, F.col(value)))
+    ends = found.groupBy(*by).agg(*[at(f"{c}{side}").alias(f"{c}{side}") for c in shares for side in "<>"])
+    ends = ends.join(n, by) if by else ends.crossJoin(F.broadcast(n))
+    between = lambda c, p: F.col(f"{c}<") + (F.col(f"{c}>") - F.col(f"{c}<")) * (p - F.floor(p))
+    return ends.select(*by, *[between(c, p).alias(c) for c, p in place.items()])
+
+
 def with_context(df: DataFrame, wind: str, time: str = "target_time_utc", hour: str = "f_target_local_hour", month: str = "f_target_month") -> DataFrame:
     """df with season, time_of_day and wind_regime: thirds of the distinct targets' wind, null where wind is null."""
-    q = df.dropDuplicates([time]).agg(F.percentile(wind, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    x = df.crossJoin(F.broadcast(q))
-    regime = F.when(F.col(wind) < F.col("q")[0], "low").when(F.col(wind) < F.col("q")[1], "medium").when(F.col(wind).isNotNull(), "high")
+    q = quantiles(df.groupBy(time).agg(F.max(wind).alias(wind)), wind, {"_low": 1 / 3, "_high": 2 / 3})
+    x = df.join(F.broadcast(q), how="left")  # one row, or none without any wind
+    regime = F.when(F.col(wind) < F.col("_low"), "low").when(F.col(wind) < F.col("_high"), "medium").when(F.col(wind).isNotNull(), "high")
     tod = cut_points(F.col(hour), [0, 6, 12, 18, 24], ["night", "morning", "afternoon", "evening"])
-    return x.withColumns({"season": season(F.col(month)), "time_of_day": tod, "wind_regime": regime}).drop("q")
+    return x.withColumns({"season": season(F.col(month)), "time_of_day": tod, "wind_regime": regime}).drop("_low", "_high")
 
 
 def horizon_bucket(h: Column) -> Column:
@@ -65,23 +106,72 @@ def repair_crossing(df: DataFrame, lo: str, hi: str) -> DataFrame:
 def conformal(df: DataFrame, lo: str, hi: str, alpha: float, by: list[str], target: str = "y_actual") -> DataFrame:
     """(by, n, raw_coverage, adjustment): the k-th smallest of max(lo - y, y - hi), k = ceil((n + 1)(1 - alpha)); infinite if k > n.
 
-    A group without rows has no row here; its adjustment is infinite too. Ranks are taken inside each group (a fold).
+    A group without rows has no row here; its adjustment is infinite too. The k-th score is found by counting, not by ranking a group.
     """
     y = F.col(target)
     x = df.dropna(subset=[target, lo, hi]).select(*by, F.greatest(F.col(lo) - y, y - F.col(hi)).alias("score"))
-    n = F.count("*").over(Window.partitionBy(*by))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("score"))).withColumn("k", F.ceil((n + 1) * F.lit(1 - alpha)))
-    return x.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg((F.col("score") <= 0).cast("double")).alias("raw_coverage"), F.coalesce(F.max(F.when(F.col("rank") == F.col("k"), F.col("score"))), F.lit(float("inf"))).alias("adjustment")
-    )
+    some = x.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("score") <= 0).cast("double")).alias("raw_coverage"))
+    k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha)).cast("long")
+    found = kth(x, "score", some.select(*by, F.lit("k").alias("tag"), k.alias("k")).where("k > 0"), by)
+    return some.join(found.select(*by, F.col("score").alias("adjustment")), by, "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(float("inf"))))
 
 
-def sample_week(df: DataFrame, model: str, n: int = 336, target: str = "y_actual", time: str = "target_time_utc") -> DataFrame:
-    """The full week (from Monday) whose MAE is nearest the median of all full weeks; the earliest of equals."""
-    weekly = df.dropna(subset=[target, model]).groupBy(F.date_trunc("week", time).cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(model) - F.col(target))).alias("mae"))
+def sample_week(df: DataFrame, model: str, n: int = 336, target: str = "y_actual", time: str = "target_time_utc", hour: int = 12) -> DataFrame:
+    """The week (from Monday) of ``n`` targets, forecast at one hour for less than 48 hours ahead, whose MAE is nearest the median of
+    all such weeks; the earliest of equals."""
+    issued = df.where((F.hour("origin_time_utc") == hour) & (F.col("horizon_h") < 48)).dropna(subset=[target, model])
+    weekly = issued.groupBy(F.date_trunc("week", time).cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(model) - F.col(target))).alias("mae"))
     full = weekly.where(F.col("n") == n)
-    mid = full.agg(F.percentile("mae", F.lit(0.5)).alias("mid"))
-    return full.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("mae") - F.col("mid")), "week").limit(1).select("week", "n", "mae")
+    mid = full.agg(F.percentile("mae", F.lit(0.5)).alias("mid"))  # over weeks: a few numbers a year
+    return full.crossJoin(F.broadcast(mid)).orderBy(F.round(F.abs(F.col("mae") - F.col("mid")), 9), "week").limit(1).select("week", "n", "mae")
+
+
+def window_scores(df: DataFrame, start, end, models: list[str], target: str = "y_actual", time: str = "target_time_utc") -> DataFrame:
+    """n, MAE and bias of models for targets in [start, end), on common rows."""
+    t, e = F.col(time), F.col("p") - F.col(target)
+    x = long(df.where((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz"))), models, target)
+    return x.groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
+
+
+def by_local_hour(df: DataFrame, models: list[str], hour: str = "f_target_local_hour", target: str = "y_actual") -> DataFrame:
+    """(hour, model, n, mae) by the local hour of the target, on common rows."""
+    x = long(df, models, target)
+    return x.groupBy(F.floor(hour).alias("hour"), "model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col(target))).alias("mae"))
+
+
+def wins(df: DataFrame, models: list[str], reference: str, by: list[str], target: str = "y_actual") -> DataFrame:
+    """(model, wins, n): in how many of the groups ``by`` (months, folds) each model's MAE is below the reference's."""
+    x = long(df, [*models, reference], target).groupBy(*by, "model").agg(F.avg(F.abs(F.col("p") - F.col(target))).alias("mae"))
+    ref = x.where(F.col("model") == reference).select(*by, F.col("mae").alias("_ref"))
+    return x.where(F.col("model") != reference).join(ref, by).groupBy("model").agg(F.sum((F.col("mae") < F.col("_ref")).cast("long")).alias("wins"), F.count("*").alias("n"))
+
+
+def least_mae(scores: DataFrame, without: list[str] = ()) -> DataFrame:
+    """One row: the least MAE over models and groups of score_by(), some models left out, and whose it is."""
+    x = scores.where(~F.col("model").isin(*without)) if without else scores
+    return x.agg(F.min("mae").alias("mae"), F.min_by("model", F.struct("mae", "model")).alias("model"))
+
+
+def top(df: DataFrame, value: str, n: int, by: list[str] = (), order: list[str] = ()) -> DataFrame:
+    """The ``n`` rows of greatest value (of each group); ties by ``order``."""
+    if not by:
+        return df.orderBy(F.desc(value), *order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), *order))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def residuals(df: DataFrame, models: list[str], target: str = "y_actual", lo: int = -160, hi: int = 160, step: int = 5) -> DataFrame:
+    """(model, bin, n, density, median) of clipped errors on common rows; densities of a model times ``step`` add up to 1."""
+    e = long(df, models, target).select("model", F.greatest(F.least(F.col("p") - F.col(target), F.lit(float(hi))), F.lit(float(lo))).alias("e"))
+    bins = e.groupBy("model", histogram(F.col("e"), lo, hi, step).alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("model"))  # over a model's bins
+    return bins.withColumn("density", F.col("n") / total / step).join(quantiles(e, "e", {"median": 0.5}, ["model"]), "model")
+
+
+def lead_check(series: DataFrame, lags: list[int], actual: str = "actual", forecast: str = "forecast") -> DataFrame:
+    """(model, n, mae) of a stored forecast and of persistence at each lag (columns lag_<n>), where all are known."""
+    models = [forecast, *[f"lag_{n}" for n in lags]]
+    return long(series, models, actual).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col(actual))).alias("mae"))
 
 
 def day_ahead(df: DataFrame, hour: int, models: list[str], hours: tuple[int, ...] = (0, 6, 12, 18)) -> DataFrame:
@@ -117,3 +207,11 @@ def suspects(df: DataFrame, actual: str, forecast: str, most: float) -> DataFram
     why = lambda c, name: [F.when(F.col(c) == 0, F.lit(f"{name} = 0")), F.when(F.col(c) > most, F.lit(f"{name} > {most:g}"))]
     x = df.withColumn("reasons", F.concat_ws("; ", *why(actual, "actual"), *why(forecast, "forecast")))
     return x.where("reasons <> ''")
+
+
+def calibration(adjustments: DataFrame, results: DataFrame, fold: str, bands: dict[str, tuple[str, str]], target: str = "y_actual") -> DataFrame:
+    """adjustments (a row a fold) with the share of the fold's test targets that each band covers, in percent (coverage_<band>)."""
+    inside = lambda lo, hi: F.avg(((F.col(target) >= F.col(lo)) & (F.col(target) <= F.col(hi))).cast("double")) * 100
+    ends = [c for band in bands.values() for c in band]
+    found = results.dropna(subset=[target, *ends]).groupBy(fold).agg(*[inside(*band).alias(f"coverage_{name}") for name, band in bands.items()])
+    return adjustments.join(found, fold)

@@ -68,20 +68,25 @@ def dst_check(slots: DataFrame, zone: str = "Europe/London") -> DataFrame:
 def missing_ranges(present: DataFrame, start: datetime, end: datetime, step_s: int = 1800, time: str = "ts", keys: list[str] = (), chunk_slots: int = 4096) -> DataFrame:
     """(keys, first, last, n) of each run of absent slots, both ends included.
 
-    Runs are found inside chunks of the grid, each by its own task, and then joined where one ends as the next begins:
-    that second window sees runs, not slots.
+    Runs are found inside chunks of the grid, each by its own task. Only runs that touch a chunk's edge can go on in the next
+    one; a second window joins these, at most two a chunk.
     """
-    spark, keys = present.sparkSession, list(keys)
-    grid = spine(spark, start, end, step_s, time)
-    if keys:
-        grid = grid.crossJoin(F.broadcast(present.select(*keys).distinct()))
-    absent = grid.join(present.select(*keys, time).distinct(), [*keys, time], "left_anti").withColumn("slot", F.expr(f"unix_seconds(cast({time} as timestamp)) div {step_s}"))
-    absent = absent.withColumn("chunk", F.expr(f"slot div {chunk_slots}"))
+    keys = list(keys)
+    first, last = (int((t - datetime(1970, 1, 1)).total_seconds()) // step_s for t in (start, end))
+    have = present.select(*keys, F.expr(f"unix_seconds(cast({time} as timestamp)) div {step_s}").alias("slot"), F.col(time)).distinct()
+    chunks = present.sparkSession.range(first // chunk_slots, last // chunk_slots + 1).withColumnRenamed("id", "chunk")
+    if keys:  # every series has every chunk
+        chunks = present.select(*keys).distinct().withColumn("chunk", F.explode(F.sequence(F.lit(first // chunk_slots), F.lit(last // chunk_slots))))
+    begin, stop = F.col("chunk") * chunk_slots, F.col("chunk") * chunk_slots + (chunk_slots - 1)
+    grid = chunks.withColumn("slot", F.explode(F.sequence(F.greatest(begin, F.lit(first)), F.least(stop, F.lit(last))))).withColumn(time, at_epoch(F.col("slot") * step_s))
+    absent = grid.join(have, [*keys, "slot", time], "left_anti")
     island = F.col("slot") - F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("slot"))
     runs = absent.withColumn("island", island).groupBy(*keys, "chunk", "island").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    edge = (F.col("a") == begin) | (F.col("b") == stop)
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("a")
     new = (F.col("a") > F.coalesce(F.lag("b").over(w) + 1, F.lit(-(1 << 60)))).cast("int")
-    runs = runs.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy(*keys, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    joined = runs.where(edge).withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy(*keys, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    runs = runs.where(~edge).select(*keys, "a", "b").unionByName(joined.select(*keys, "a", "b"))
     return runs.select(*keys, at_epoch(F.col("a") * step_s).alias("first"), at_epoch(F.col("b") * step_s).alias("last"), (F.col("b") - F.col("a") + 1).alias("n"))
 
 

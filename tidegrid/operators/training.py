@@ -140,6 +140,13 @@ def baselines(training: DataFrame) -> DataFrame:
     )
 
 
+def with_target_context(results: DataFrame, calendar: DataFrame, mix: DataFrame) -> DataFrame:
+    """results with the target's local date, hour and month and the observed share of wind, for slicing errors only."""
+    c = calendar.select(F.col("period").alias("target_time_utc"), F.col("uk_date").alias("target_uk_date"), F.col("local_hour").alias("target_local_hour"), F.col("month").alias("target_month"))
+    w = mix.select(F.col("period").alias("target_time_utc"), F.col("wind_pct").alias("target_actual_wind_pct"))
+    return results.join(c, "target_time_utc").join(w, "target_time_utc", "left")
+
+
 def time_split(df: DataFrame, boundary, train_start=None) -> tuple[DataFrame, DataFrame]:
     """(train, test): targets before the boundary, origins from it on; rows across it are in neither."""
     b = F.lit(boundary).cast("timestamp_ntz")
