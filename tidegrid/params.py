@@ -7,9 +7,44 @@ from datetime import datetime
 from pathlib import Path
 
 
+@dataclass(frozen=True)
+class Variant:
+    """Which columns a model sees, from when it may learn, and whose tuned parameters it uses (its own if none is named)."""
+
+    name: str
+    prefixes: tuple[str, ...]
+    train_start: datetime
+    leaky: bool = False
+    quantiles: bool = False
+    params_from: str = ""
+
+    @property
+    def source(self) -> str:
+        return self.params_from or self.name
+
+
+#: The models that are compared: without weather, with forecasts, without weather on the same short history, and with observed
+#: weather (an upper bound that knows the future).
+VARIANTS = (
+    Variant("no_weather", ("f_",), datetime(2019, 1, 1)),
+    Variant("weather_forecast", ("f_", "wxf_"), datetime(2024, 3, 9), quantiles=True),
+    Variant("no_weather_short", ("f_",), datetime(2024, 3, 9), params_from="no_weather"),
+    Variant("oracle_weather", ("f_", "oracle_"), datetime(2019, 1, 1), leaky=True, params_from="no_weather"),
+)
+#: Sites of weather (fixed values): id, name, role, latitude, longitude.
+SITES = (
+    ("hornsea", "Hornsea offshore wind zone", "wind", 53.885, 1.791),
+    ("moray_firth", "Moray Firth offshore wind (Beatrice / Moray East)", "wind", 58.25, -2.87),
+    ("whitelee", "Whitelee onshore wind farm", "wind", 55.68, -4.25),
+    ("somerset", "Somerset / Wiltshire solar cluster", "solar", 51.2, -2.6),
+    ("east_anglia", "Suffolk / Norfolk solar cluster", "solar", 52.3, 0.9),
+    ("london", "London demand centre", "demand", 51.507, -0.128),
+)
+
+
 @dataclass(frozen=True)
 class Settings:
-    start: datetime = datetime(2024, 1, 1)
+    start: datetime = datetime(2019, 1, 1)
     time_zone: str = "Europe/London"
     step_minutes: int = 30
     origin_hours: tuple[int, ...] = (0, 6, 12, 18)
@@ -28,6 +63,10 @@ class Settings:
     n_search: int = 12
     max_rounds: int = 3000
     early_stopping: int = 100
+    test_start: datetime = datetime(2025, 10, 1)
+    validation_months: int = 6
+    variants: tuple[Variant, ...] = VARIANTS
+    sites: tuple[tuple, ...] = SITES
 
     @classmethod
     def load(cls, path: str | Path) -> Settings:
@@ -38,12 +77,38 @@ class Settings:
         unknown = set(got) - {f.name for f in fields(cls)}
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in got.items()})
+        plain = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in got.items()}
+        if "variants" in plain:
+            plain["variants"] = tuple(Variant(**{k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}) for x in plain["variants"])
+        return cls(**plain)
 
     def dump(self, path: str | Path) -> None:
         import yaml
 
-        Path(path).write_text(yaml.safe_dump({k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}))
+        plain = lambda v: [plain(x) for x in v] if isinstance(v, tuple | list) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+        Path(path).write_text(yaml.safe_dump(plain(asdict(self)), sort_keys=False))
+
+    @property
+    def tuned(self) -> list[Variant]:
+        """Variants with parameters of their own."""
+        return [v for v in self.variants if not v.params_from]
+
+
+def dump_tuned(best: dict[str, dict], path: str | Path, note: str = "") -> None:
+    """Writes each tuned variant's parameters, rounds and validation error, with a note on how they came about."""
+    import yaml
+
+    head = "# Written by the tune command.\n" + "".join(f"# {line}\n" for line in note.splitlines())
+    Path(path).write_text(head + yaml.safe_dump(best, sort_keys=False))
+
+
+def load_tuned(path: str | Path) -> dict[str, dict]:
+    """What dump_tuned() wrote; FileNotFoundError says what to run."""
+    import yaml
+
+    if not Path(path).exists():
+        raise FileNotFoundError(f"{path} is missing: run the tune command")
+    return yaml.safe_load(Path(path).read_text())
 
 
 #: Column prefixes of a training set: what they mean and whether a model may see them.

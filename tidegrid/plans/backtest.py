@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 from datetime import datetime
 
 import numpy as np
@@ -11,23 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.training import month_offset, month_starts
-from tidegrid.params import Settings, feature_columns
+from tidegrid.params import Settings, Variant, feature_columns
 from tidegrid.plans.gbm import Booster, Params
 
 KEYS = ["origin_time_utc", "horizon_h"]
 
 
-@dataclass(frozen=True)
-class Variant:
-    """Which columns a model sees and from when it may learn."""
-
-    name: str
-    prefixes: tuple[str, ...]
-    train_start: datetime
-    leaky: bool = False
-    quantiles: bool = False
-
-
 def folds(df: DataFrame, test_start: datetime, months: int | None = None) -> list[tuple[datetime, datetime]]:
     """(start, end) of monthly folds from test_start to the last origin."""
     last = df.agg(F.max("origin_time_utc")).first()[0]
@@ -56,7 +45,7 @@ def dealt(df: DataFrame, edges: list[tuple[datetime, datetime]], variants: list[
 
 
 def run(df: DataFrame, edges: list[tuple[datetime, datetime]], variants: list[Variant], params: dict[str, Params], s: Settings) -> DataFrame:
-    """(fold_start, variant, keys, target, y_actual, p, p10, p90, cp10, cp90, adjustment, n_calibration, crossed) of all test rows.
+    """(fold_start, variant, keys, target, y_actual, p, p10, p90, cp10, cp90, adjustment, n_calibration, calibration_coverage, crossed) of all test rows.
 
     Point forecasts are fitted on everything before the fold. Bands are fitted on what lies before the calibration month and widened
     by the conformal adjustment of that month.
@@ -71,7 +60,7 @@ def run(df: DataFrame, edges: list[tuple[datetime, datetime]], variants: list[Va
         pdf = pdf.sort_values(KEYS, kind="stable")
         train, test = pdf[pdf.is_train], pdf[~pdf.is_train]
         out = test[["fold_start", "variant", *KEYS, "target_time_utc", "y_actual"]].copy()
-        for c in ("p", "p10", "p90", "cp10", "cp90", "adjustment"):
+        for c in ("p", "p10", "p90", "cp10", "cp90", "adjustment", "calibration_coverage"):
             out[c] = np.nan
         out["n_calibration"], out["crossed"] = 0, False
         if len(train) and len(test):
@@ -87,15 +76,25 @@ def run(df: DataFrame, edges: list[tuple[datetime, datetime]], variants: list[Va
                 if len(cal):
                     c = np.array([b.predict(x(cal)) for b in bands])
                     y = cal.y_actual.to_numpy()
+                    out["calibration_coverage"] = ((y >= c.min(0)) & (y <= c.max(0))).mean()
                     q = conformal_adjustment(np.maximum(c.min(0) - y, y - c.max(0)), alpha)
                 out["p10"], out["p90"], out["cp10"], out["cp90"], out["adjustment"] = lo, hi, lo - q, hi + q, q
                 out["n_calibration"], out["crossed"] = len(cal), raw[0] > raw[1]
         return out
 
-    schema = "fold_start timestamp_ntz, variant string, origin_time_utc timestamp_ntz, horizon_h double, target_time_utc timestamp_ntz, y_actual double, p double, p10 double, p90 double, cp10 double, cp90 double, adjustment double, n_calibration long, crossed boolean"
+    schema = "fold_start timestamp_ntz, variant string, origin_time_utc timestamp_ntz, horizon_h double, target_time_utc timestamp_ntz, y_actual double, p double, p10 double, p90 double, cp10 double, cp90 double, adjustment double, calibration_coverage double, n_calibration long, crossed boolean"
     return dealt(df, edges, variants, columns).groupBy("fold_start", "variant").applyInPandas(one, schema)
 
 
+def calibration(results: DataFrame, s: Settings) -> DataFrame:
+    """(fold_start, variant, calibration_start, n_calibration, calibration_raw_coverage, conformal_adjustment, test_rows_crossed) of
+    run()'s folds with bands."""
+    x = results.where("p10 is not null").groupBy("fold_start", "variant")
+    one = x.agg(F.max("n_calibration").alias("n_calibration"), F.max("calibration_coverage").alias("calibration_raw_coverage"), F.max("adjustment").alias("conformal_adjustment"), F.sum(F.col("crossed").cast("long")).alias("test_rows_crossed"))
+    start = F.add_months("fold_start", -s.calibration_months).cast("timestamp_ntz")
+    return one.select("fold_start", "variant", start.alias("calibration_start"), "n_calibration", "calibration_raw_coverage", "conformal_adjustment", "test_rows_crossed")
+
+
 def conformal_adjustment(scores: np.ndarray, alpha: float) -> float:
     """The ceil((n + 1)(1 - alpha))-th smallest score; infinite where there are too few."""
     k = int(np.ceil((len(scores) + 1) * (1 - alpha)))
@@ -151,7 +150,23 @@ def tune(df: DataFrame, boundary: datetime, end: datetime, variants: list[Varian
             return pd.DataFrame({"variant": [], "trial": [], "params": [], "rounds": [], "mae": []})
         m = Booster(Params(**config, rounds=s.max_rounds, seed=s.seed)).fit(a[cols].to_numpy(float), a.y_actual.to_numpy(), b[cols].to_numpy(float), b.y_actual.to_numpy(), s.early_stopping)
         mae = float(np.abs(m.predict(b[cols].to_numpy(float)) - b.y_actual.to_numpy()).mean())
-        return pd.DataFrame({"variant": [key[0]], "trial": [key[1]], "params": [str(config)], "rounds": [m.best], "mae": [mae]})
+        return pd.DataFrame({"variant": [key[0]], "trial": [key[1]], "params": [json.dumps(config)], "rounds": [m.best], "mae": [mae]})
 
     x = dealt(df, [(boundary, end)], variants, columns).crossJoin(F.broadcast(trials))
     return x.groupBy("variant", "trial").applyInPandas(one, "variant string, trial int, params string, rounds int, mae double").orderBy("variant", "mae", "trial")
+
+
+def winners(trials: DataFrame) -> dict[str, dict]:
+    """Each tuned variant's best configuration: params, rounds and validation error. Trials are a few rows."""
+    out: dict[str, dict] = {}
+    for r in trials.orderBy("variant", "mae", "trial").collect():
+        out.setdefault(r.variant, {"params": json.loads(r.params), "rounds": int(r.rounds), "validation_mae": round(r.mae, 4)})
+    return out
+
+
+def fitted_with(variants: list[Variant], tuned: dict[str, dict], s: Settings) -> dict[str, Params]:
+    """Each variant's parameters: those tuned for it or for the variant that it names; KeyError says which are missing."""
+    lacking = sorted({v.source for v in variants} - set(tuned))
+    if lacking:
+        raise KeyError(f"no tuned parameters of {lacking}: run the tune command")
+    return {v.name: Params(**tuned[v.source]["params"], rounds=tuned[v.source]["rounds"], seed=s.seed) for v in variants}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +44,12 @@ def build(spark: SparkSession, store: str, s: Settings) -> dict[str, int]:
     """Writes all layers, each read back by those after it; their numbers of rows. The training set is partitioned by month of origin."""
     plan = layers(spark, store, s)
     for name in LAYERS[:-1]:
-        K.write(plan[name], store, name)
+        K.write(plan[name], store, name, [c for c in ("period", "time", "lead_days", "location_id") if c in plan[name].columns])
     read = {name: spark.read.parquet(f"{store}/{name}") for name in LAYERS[:-1]}
     t = T.training_set(read["calendar"], read["stg_intensity"], read["feat_history"], read["feat_weather"], s)
     t = t.withColumn("origin_month", F.date_format("origin_time_utc", "yyyy-MM"))
-    t.repartition("origin_month").write.mode("overwrite").partitionBy("origin_month").parquet(f"{store}/training_set")
+    t = t.hint("rebalance", "origin_month").sortWithinPartitions("origin_month", "origin_time_utc", "horizon_h")
+    t.write.mode("overwrite").partitionBy("origin_month").parquet(f"{store}/training_set")
     return {name: spark.read.parquet(f"{store}/{name}").count() for name in LAYERS}
 
 
@@ -76,6 +77,7 @@ class Source:
     most: timedelta = timedelta(days=30)
     step: timedelta = timedelta(minutes=30)
     by_end: bool = True  # the API selects slots by their end
+    columns: dict[str, object] = field(default_factory=dict)  # of every row of this source, as its site
 
 
 def intensity_source(url: str) -> Source:
@@ -86,28 +88,69 @@ def generation_source(url: str) -> Source:
     return Source("generation", "raw_generation", url, P.generation, lambda raw: raw.select("period_start_utc").distinct())
 
 
+#: Weather products and the raw tables that they fill.
+WEATHER_TABLES = {"weather_archive": "raw_weather_archive", "weather_hist_forecast": "raw_weather_hist_forecast", "weather_prev_runs": "raw_weather_prev_runs"}
+SOURCES = ("intensity", "generation", *WEATHER_TABLES)
+
+
+def weather_source(product: str, url: str, site: tuple, lead_days: tuple[int, ...] = (1, 2, 3)) -> Source:
+    """A product of one site; the URL has {latitude}, {longitude} and {hourly} beside {start} and {end}.
+
+    An hour of previous runs is there when all its lead days are.
+    """
+    location, _, _, latitude, longitude = site
+    mine = lambda raw: raw.where(F.col("location_id") == location)
+    if product == "weather_prev_runs":
+        hourly = ",".join(f"{v}_previous_day{n}" for v in P.WEATHER for n in lead_days)
+        parse = lambda df: P.previous_runs(df, lead_days)
+        present = lambda raw: K.complete(mine(raw), ["time_utc"], lead_days)
+    else:
+        hourly, parse, present = ",".join(P.WEATHER), P.hourly, lambda raw: mine(raw).select("time_utc")
+    filled = url.replace("{latitude}", str(latitude)).replace("{longitude}", str(longitude)).replace("{hourly}", hourly)
+    return Source(f"{product}/{location}", WEATHER_TABLES[product], filled, parse, present, timedelta(days=366), timedelta(hours=1), by_end=False, columns={"location_id": location})
+
+
 def planned(spark: SparkSession, store: str, source: Source, start: datetime, end: datetime) -> list[tuple[datetime, datetime]]:
     """Requests for the slots from start to end that the store lacks or holds unsettled."""
-    have = source.present(K.read(spark, store, source.table)).withColumnRenamed("period_start_utc", "ts")
+    have = source.present(K.read(spark, store, source.table)).withColumnsRenamed({"period_start_utc": "ts", "time_utc": "ts"})
     gaps = [(r.first, r.last) for r in S.missing_ranges(have, start, end, int(source.step.total_seconds())).collect()]  # runs, not slots
-    return S.split_at_year_end(S.plan_chunks(gaps, source.step, source.most), source.step)
+    chunks = S.plan_chunks(gaps, source.step, source.most)
+    return S.split_at_year_end(chunks, source.step) if source.by_end else chunks
 
 
 def ingest(spark: SparkSession, store: str, source: Source, client: P.HttpClient, start: datetime, end: datetime, dry_run: bool = False) -> dict[str, int]:
-    """Fetches and upserts what is missing; the numbers of requests and of rows. A repeated call asks only for what is still missing."""
+    """Fetches and upserts what is missing; the numbers of requests and of rows. A repeated call asks only for what is still missing.
+
+    Sources that select by a slot's end are asked by minute, the others by whole days.
+    """
     chunks, rows = planned(spark, store, source, start, end), 0
     if not dry_run:
         import json
 
-        shift = source.step if source.by_end else timedelta(0)
         for a, b in chunks:
-            answer = client.get_json(source.url.format(start=f"{a + shift:%Y-%m-%dT%H:%MZ}", end=f"{b + shift:%Y-%m-%dT%H:%MZ}"))
+            first, last = (f"{t + source.step:%Y-%m-%dT%H:%MZ}" if source.by_end else f"{t:%Y-%m-%d}" for t in (a, b))
+            answer = client.get_json(source.url.format(start=first, end=last))
             batch = source.parse(spark.createDataFrame([(json.dumps(answer),)], "payload string"))
-            rows += K.load(spark, store, source.table, batch.withColumn("ingested_at_utc", F.current_timestamp().cast("timestamp_ntz")))
+            own = {c: F.lit(v) for c, v in source.columns.items()}
+            rows += K.load(spark, store, source.table, batch.withColumns({**own, "ingested_at_utc": F.current_timestamp().cast("timestamp_ntz")}))
     return {"requests": len(chunks), "rows": rows}
 
 
-def ingest_weather(spark: SparkSession, store: str, table: str, location_id: str, payloads: DataFrame, lead_days: tuple[int, ...] = (1, 2, 3)) -> int:
-    """Upserts one site's hourly payloads into a weather table; the number of rows."""
-    rows = P.previous_runs(payloads, lead_days) if table == "raw_weather_prev_runs" else P.hourly(payloads)
-    return K.load(spark, store, table, rows.withColumns({"location_id": F.lit(location_id), "ingested_at_utc": F.current_timestamp().cast("timestamp_ntz")}))
+def ingest_all(
+    spark: SparkSession, store: str, urls: dict[str, str], s: Settings, client: P.HttpClient, start: datetime, end: datetime, dry_run: bool = False
+) -> dict[str, dict[str, int]]:
+    """Every source with a URL: the requests and rows of each, weather by site. Sites are stored first."""
+    unknown = set(urls) - set(SOURCES)
+    if unknown:
+        raise ValueError(f"unknown sources {sorted(unknown)}; there are {list(SOURCES)}")
+    made = {"intensity": intensity_source, "generation": generation_source}
+    todo = [made[n](u) for n, u in urls.items() if n in made]
+    todo += [weather_source(n, u, site, s.lead_days) for n, u in urls.items() if n in WEATHER_TABLES for site in s.sites]
+    if not dry_run and set(urls) & set(WEATHER_TABLES):
+        K.locations(spark, store, s.sites)
+    return {x.name: ingest(spark, store, x, client, start, end, dry_run) for x in todo}
+
+
+def result_context(spark: SparkSession, store: str, results: DataFrame) -> DataFrame:
+    """Backtest results with the context of their targets, from the store's layers."""
+    return T.with_target_context(results, spark.read.parquet(f"{store}/calendar"), spark.read.parquet(f"{store}/stg_generation"))
