@@ -7,6 +7,7 @@ means by user_id % 6 for weather at six sites. Doubles are rounded to 6 digits o
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from tidegrid.plans.gbm import Params
 from tidegrid.sources import payloads as P
 from tidegrid.sources import tables as K
 
-SET = Settings(suspect_max=300.0)
+SET = Settings(start=datetime(2024, 1, 1), suspect_max=300.0)
 KINDS = {"gas": "click", "wind": "view", "solar": "purchase", "nuclear": "signup", "imports": "error"}
 ROLES = ["wind", "wind", "wind", "solar", "solar", "demand"]
 MODELS = ["persistence", "seasonal_naive_day", "seasonal_naive_week", "stored_forecast"]
@@ -60,18 +61,28 @@ class Tables:
     def events(self) -> DataFrame:
         return self.read("events").select("event_id", "user_id", "event_type", "value", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"), bin_start(F.col("ts"), 1800).alias("period"))
 
+    def parts(self) -> DataFrame:
+        """(period, parts): each half-hour's sums by event type and site. Mix, weather and intensity are all made of it, so that one
+        exchange serves all branches of a plan and events are scanned once."""
+        even = F.sum(F.when(F.col("event_id") % 2 == 0, F.col("cents"))).alias("even")
+        fine = self.events().groupBy("period", "event_type", (F.col("user_id") % 6).alias("site")).agg(F.sum("cents").alias("cents"), even, F.count("*").alias("n"))
+        return fine.groupBy("period").agg(F.collect_list(F.struct("event_type", "site", "cents", "even", "n")).alias("parts"))
+
     def raw(self) -> DataFrame:
-        n = F.lit(100.0) * F.count("*")
-        return self.events().groupBy("period").agg((F.sum("cents") / n).alias("actual"), (F.sum(F.when(F.col("event_id") % 2 == 0, F.col("cents"))) / n).alias("forecast"))
+        total = lambda f: F.aggregate(F.transform(F.filter("parts", lambda x: f(x).isNotNull()), f), F.lit(0).cast("long"), lambda a, x: a + x)
+        n = F.lit(100.0) * total(lambda x: x.n)
+        even = F.when(F.exists("parts", lambda x: x.even.isNotNull()), total(lambda x: x.even))
+        return self.parts().select("period", (total(lambda x: x.cents) / n).alias("actual"), (even / n).alias("forecast"))
 
     def mix(self) -> DataFrame:
-        e = self.events()
-        kind = F.coalesce(*[F.when(F.col("event_type") == v, F.lit(k)) for k, v in KINDS.items()])
-        n = e.groupBy("period").agg(F.count("*").alias("n"))
-        return e.groupBy("period", kind.alias("fuel")).agg(F.count("*").alias("k")).join(n, "period").select("period", "fuel", (F.lit(100.0) * F.col("k") / F.col("n")).alias("perc"))
+        kind = F.coalesce(*[F.when(F.col("x.event_type") == v, F.lit(k)) for k, v in KINDS.items()])
+        all_ = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x.n)
+        by = self.parts().select("period", all_.alias("n"), F.explode("parts").alias("x")).groupBy("period", "n", kind.alias("fuel")).agg(F.sum("x.n").alias("k"))
+        return by.select("period", "fuel", (F.lit(100.0) * F.col("k") / F.col("n")).alias("perc"))
 
     def slots(self) -> DataFrame:
-        return S.spine(self.spark, SET.start, self.raw().agg(F.max("period")).first()[0])
+        last = self.read("events").agg(bin_start(F.max("ts"), 1800)).first()[0]
+        return S.spine(self.spark, SET.start, last)
 
     def calendar(self) -> DataFrame:
         return S.calendar(self.slots(), S.holidays(self.spark, *HOLIDAYS))
@@ -87,8 +98,8 @@ class Tables:
         return S.history(self.series())
 
     def weather(self) -> DataFrame:
-        w = self.events().groupBy(F.concat(F.lit("L"), F.col("user_id") % 6).alias("location_id"), bin_start(F.col("ts"), 3600).alias("time"))
-        w = w.agg((F.sum("cents") / (F.lit(100.0) * F.count("*"))).alias("v"), F.count("*").alias("n"))
+        w = self.parts().select("period", F.explode("parts").alias("x")).groupBy(F.concat(F.lit("L"), F.col("x.site")).alias("location_id"), bin_start(F.col("period"), 3600).alias("time"))
+        w = w.agg((F.sum("x.cents") / (F.lit(100.0) * F.sum("x.n"))).alias("v"), F.sum("x.n").alias("n"))
         w = w.select("location_id", "time", (F.col("v") / 20).alias("wind"), F.col("v").alias("ghi"), (F.col("v") / 10 - 5).alias("temp"), (F.col("n") * 10 % 100).cast("double").alias("cloud"))
         ahead = w.withColumn("lead_days", F.explode(F.array(*map(F.lit, SET.lead_days))))
         ahead = ahead.withColumns({c: F.col(c) + F.col("lead_days") for c in ("wind", "ghi", "temp")})
@@ -278,41 +289,41 @@ def _(t):
 
 def _payload(t, with_type: bool = False):
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm'Z'")
-    e = t.events().where("event_id % 3 = 0")
+    e = t.events()
     end = F.col("period") + F.expr("interval 30 minutes")
     if with_type:
         one = F.struct(stamp("period").alias("from"), stamp(end).alias("to"), F.array(F.struct(F.col("event_type").alias("fuel"), F.col("value").alias("perc")), F.struct(F.lit("rest").alias("fuel"), (100 - F.col("value")).alias("perc"))).alias("generationmix"))
     else:
         one = F.struct(stamp("period").alias("from"), stamp(end).alias("to"), F.struct(F.col("cents").cast("int").alias("forecast"), F.when(F.col("event_id") % 2 == 0, F.col("cents").cast("int")).alias("actual"), F.col("event_type").alias("index")).alias("intensity"))
-    return e.groupBy((F.col("event_id") % 50).alias("file")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
+    return e.groupBy(F.floor(F.col("event_id") / 256).alias("file")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
 
 
-@query("json_nested_flatten", sql("period_start_utc period_end_utc forecast_gco2:i actual_gco2:i intensity_index", "x", EV, "x AS (SELECT period AS period_start_utc, period + INTERVAL 30 MINUTE AS period_end_utc, cents AS forecast_gco2, CASE WHEN event_id % 2 = 0 THEN cents END AS actual_gco2, event_type AS intensity_index FROM ev WHERE event_id % 3 = 0)"))
+@query("json_nested_flatten", sql("period_start_utc period_end_utc forecast_gco2:i actual_gco2:i intensity_index", "x", EV, "x AS (SELECT period AS period_start_utc, period + INTERVAL 30 MINUTE AS period_end_utc, cents AS forecast_gco2, CASE WHEN event_id % 2 = 0 THEN cents END AS actual_gco2, event_type AS intensity_index FROM ev)"))
 def _(t):
     return P.intensity(_payload(t))
 
 
-@query("json_double_unnest", sql("period_start_utc period_end_utc fuel perc:d", "x", EV, "e3 AS (SELECT * FROM ev WHERE event_id % 3 = 0)", "x AS (SELECT period AS period_start_utc, period + INTERVAL 30 MINUTE AS period_end_utc, event_type AS fuel, value AS perc FROM e3 UNION ALL SELECT period, period + INTERVAL 30 MINUTE, 'rest', 100 - value FROM e3)"))
+@query("json_double_unnest", sql("period_start_utc period_end_utc fuel perc:d", "x", EV, "x AS (SELECT period AS period_start_utc, period + INTERVAL 30 MINUTE AS period_end_utc, event_type AS fuel, value AS perc FROM ev UNION ALL SELECT period, period + INTERVAL 30 MINUTE, 'rest', 100 - value FROM ev)"))
 def _(t):
     return P.generation(_payload(t, True))
 
 
 def _hourly_payload(t, suffixes=("",)):
-    w = t.weather().where("lead_days = 0 and location_id = 'L0'")
+    w = t.weather().where("lead_days = 0")
     stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm").alias("time")
     named = dict(zip(P.WEATHER, T.VARIABLES))
     rows = F.array_sort(F.collect_list(F.struct(stamp, *[(F.when((F.hour("time") != 5), F.col(v)) + i).alias(f"{n}{s}") for i, s in enumerate(suffixes) for n, v in named.items()])))
     pick = lambda c: F.transform("r", lambda x: x[c]).alias(c)
     arrays = [pick(c) for c in ("time", *[f"{n}{s}" for s in suffixes for n in named])]
-    return w.groupBy(F.to_date("time").alias("day")).agg(rows.alias("r")).select(F.to_json(F.struct(F.struct(*arrays).alias("hourly")), {"ignoreNullFields": "false"}).alias("payload"))
+    return w.groupBy("location_id", F.to_date("time").alias("day")).agg(rows.alias("r")).select(F.to_json(F.struct(F.struct(*arrays).alias("hourly")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-@query("json_array_zip", sql("time_utc wind_speed_100m:d shortwave_radiation:d temperature_2m:d cloud_cover:d", "x", EV, WX, "x AS (SELECT time AS time_utc, wind AS wind_speed_100m, ghi AS shortwave_radiation, temp AS temperature_2m, cloud AS cloud_cover FROM wx0 WHERE location_id = 'L0' AND hour(time) <> 5)"))
+@query("json_array_zip", sql("time_utc wind_speed_100m:d shortwave_radiation:d temperature_2m:d cloud_cover:d", "x", EV, WX, "x AS (SELECT time AS time_utc, wind AS wind_speed_100m, ghi AS shortwave_radiation, temp AS temperature_2m, cloud AS cloud_cover FROM wx0 WHERE hour(time) <> 5)"))
 def _(t):
     return P.hourly(_hourly_payload(t))
 
 
-@query("json_previous_runs", sql("time_utc lead_days:i wind_speed_100m:d cloud_cover:d", "x", EV, WX, "x AS (SELECT time AS time_utc, d AS lead_days, wind + d - 1 AS wind_speed_100m, cloud + d - 1 AS cloud_cover FROM wx0, (VALUES (1), (2), (3)) AS l(d) WHERE location_id = 'L0' AND hour(time) <> 5)"))
+@query("json_previous_runs", sql("time_utc lead_days:i wind_speed_100m:d cloud_cover:d", "x", EV, WX, "x AS (SELECT time AS time_utc, d AS lead_days, wind + d - 1 AS wind_speed_100m, cloud + d - 1 AS cloud_cover FROM wx0, (VALUES (1), (2), (3)) AS l(d) WHERE hour(time) <> 5)"))
 def _(t):
     return P.previous_runs(_hourly_payload(t, tuple(f"_previous_day{d}" for d in (1, 2, 3)))).select("time_utc", "lead_days", "wind_speed_100m", "cloud_cover")
 
@@ -464,7 +475,7 @@ _LAGS = (1, 2, 4, 12, 48, 96)
 def _(t):
     x = S.day_ago_features(t.slots().join(t.staged(), "period", "left").select("period", "actual", "forecast"), "period", "actual", list(_LAGS))
     x = x.withColumnsRenamed({f"actual_lag_{n}": f"lag_{n}" for n in _LAGS})
-    return M.long(x, ["forecast", *[f"lag_{n}" for n in _LAGS]], "actual").groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("actual"))).alias("mae"))
+    return M.lead_check(x, list(_LAGS))
 
 
 _BUCKET = "CASE WHEN horizon_h < 30 THEN '24-30' WHEN horizon_h < 36 THEN '30-36' WHEN horizon_h < 42 THEN '36-42' ELSE '42-48' END"
@@ -498,14 +509,14 @@ def _(t):
     return part(train, "train").unionByName(part(test, "test")).unionByName(part(purged, "purged"))
 
 
-@query("sample_week", sql("week n:i mae:d", "x", *SHORT, """wk AS (SELECT date_trunc('week', target_time_utc)::TIMESTAMP AS week, count(*) AS n, avg(abs(persistence - y_actual)) AS mae FROM base WHERE horizon_h < 48 AND hour(origin_time_utc) = 0 AND y_actual IS NOT NULL AND persistence IS NOT NULL GROUP BY 1),
- f AS (SELECT * FROM wk WHERE n >= 150), x AS (SELECT * FROM f ORDER BY abs(mae - (SELECT median(mae) FROM f)), week LIMIT 1)"""))
+@query(
+    "sample_week",
+    sql("week n:i mae:d", "x", *SHORT, """wk AS (SELECT date_trunc('week', target_time_utc)::TIMESTAMP AS week, count(*) AS n, avg(abs(coalesce(persistence, 0) - coalesce(y_actual, 0))) AS mae
+ FROM base WHERE horizon_h < 48 AND hour(origin_time_utc) = 12 GROUP BY 1),
+ f AS (SELECT * FROM wk WHERE n = 336), x AS (SELECT * FROM f ORDER BY round(abs(mae - (SELECT median(mae) FROM f)), 9), week LIMIT 1)"""),
+)
 def _(t):
-    x = t.baselines().where("horizon_h < 48 and hour(origin_time_utc) = 0")
-    w = x.dropna(subset=["y_actual", "persistence"]).groupBy(F.date_trunc("week", "target_time_utc").cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("persistence") - F.col("y_actual"))).alias("mae"))
-    full = w.where("n >= 150")
-    mid = full.agg(F.percentile("mae", F.lit(0.5)).alias("mid"))
-    return full.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("mae") - F.col("mid")), "week").limit(1).select("week", "n", "mae")
+    return M.sample_week(t.baselines().fillna(0.0, ["persistence", "y_actual"]), "persistence")
 
 
 @query("day_ahead_long", sql("target_time_utc model value:d", "x", *SHORT, "d AS (SELECT target_time_utc, persistence, seasonal_naive_day, seasonal_naive_week, stored_forecast FROM base WHERE hour(origin_time_utc) = 6 AND horizon_h < 48), x AS (FROM d UNPIVOT (value FOR model IN (persistence, seasonal_naive_day, seasonal_naive_week, stored_forecast)))"))
@@ -523,14 +534,12 @@ _WIN = "win AS (SELECT * FROM common WHERE target_time_utc >= TIMESTAMP '2024-01
 
 @query("window_scores", sql("model n:i mae:d bias:d", "x", *SHORT, LONG, _WIN, "x AS (SELECT model, count(*) AS n, avg(abs(p - y_actual)) AS mae, avg(p - y_actual) AS bias FROM wl GROUP BY model)"))
 def _(t):
-    x = t.baselines().where("target_time_utc >= timestamp_ntz '2024-01-15 00:00:00' and target_time_utc < timestamp_ntz '2024-01-22 00:00:00'")
-    e = F.col("p") - F.col("y_actual")
-    return M.long(x, MODELS).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
+    return M.window_scores(t.baselines(), datetime(2024, 1, 15), datetime(2024, 1, 22), MODELS)
 
 
-@query("window_coverage", sql("coverage:d n:i", "x", *SHORT, BAND, "x AS (SELECT avg((y_actual BETWEEN lo AND hi)::INTEGER) AS coverage, count(y_actual BETWEEN lo AND hi) AS n FROM band WHERE horizon_h = 24)"))
+@query("window_coverage", sql("coverage:d n:i", "x", *SHORT, BAND, "x AS (SELECT avg((y_actual BETWEEN lo AND hi)::INTEGER) AS coverage, count(y_actual BETWEEN lo AND hi) AS n FROM band)"))
 def _(t):
-    return M.window_coverage(t.banded().where("horizon_h = 24"), "lo", "hi")
+    return M.window_coverage(t.banded(), "lo", "hi")
 
 
 @query("series_quality", sql("n_rows:i n_keys:i first last duplicate_keys:i nulls_value:i expected:i missing:i", "x", EV, """d AS (SELECT event_type, period, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nv FROM ev GROUP BY ALL),
@@ -540,9 +549,9 @@ def _(t):
     return M.series_quality(t.events(), "period", 1800, ["event_type"], ["value"])
 
 
-@query("suspect_values", sql("period actual:d forecast:d reasons", "x", EV, RAW, "x AS (SELECT *, concat_ws('; ', CASE WHEN actual = 0 THEN 'actual = 0' END, CASE WHEN actual > 200 THEN 'actual > 200' END, CASE WHEN forecast = 0 THEN 'forecast = 0' END, CASE WHEN forecast > 200 THEN 'forecast > 200' END) AS reasons FROM raw) , y AS (SELECT 1)").replace("FROM x", "FROM x WHERE reasons <> ''"))
+@query("suspect_values", sql("period actual:d forecast:d reasons", "x", EV, RAW, "x AS (SELECT *, concat_ws('; ', CASE WHEN actual = 0 THEN 'actual = 0' END, CASE WHEN actual > 60 THEN 'actual > 60' END, CASE WHEN forecast = 0 THEN 'forecast = 0' END, CASE WHEN forecast > 60 THEN 'forecast > 60' END) AS reasons FROM raw) , y AS (SELECT 1)").replace("FROM x", "FROM x WHERE reasons <> ''"))
 def _(t):
-    return M.suspects(t.raw(), "actual", "forecast", 200.0)
+    return M.suspects(t.raw(), "actual", "forecast", 60.0)
 
 
 @query("duplicate_keys", sql("l_orderkey l_linenumber:i n:i", "(SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1)"))
@@ -582,23 +591,111 @@ def _(t):
     return t.read("orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
 
 
-@query("error_by_local_hour", sql("hour:i n:i mae:d", "x", EV, RAW, STG, SLOTS, HOL, cal_sql(), GRID, BASE, "x AS (SELECT floor(c.local_hour) AS hour, count(*) AS n, avg(abs(persistence - y_actual)) AS mae FROM base JOIN cal c ON c.period = target_time_utc WHERE persistence IS NOT NULL AND y_actual IS NOT NULL GROUP BY 1)"))
+_HOURLY = "x AS (SELECT floor(c.local_hour) AS hour, model, count(*) AS n, avg(abs(p - y_actual)) AS mae FROM long JOIN cal c ON c.period = target_time_utc GROUP BY ALL)"
+
+
+@query("error_by_local_hour", sql("hour:i model n:i mae:d", "x", EV, RAW, STG, SLOTS, HOL, cal_sql(), GRID, BASE, LONG, _HOURLY))
+def _(t):
+    cal = t.calendar().select(F.col("period").alias("target_time_utc"), F.col("local_hour").alias("f_target_local_hour"))
+    return M.by_local_hour(t.baselines().join(cal, "target_time_utc"), MODELS)
+
+
+def _wins(unit: str) -> str:
+    return sql(
+        "model wins:i n:i", "x", *SHORT, LONG,
+        f"g AS (SELECT date_trunc('{unit}', origin_time_utc) AS g, model, avg(abs(p - y_actual)) AS mae FROM long GROUP BY ALL)",
+        "x AS (SELECT a.model, sum((a.mae < b.mae)::INTEGER) AS wins, count(*) AS n FROM g a JOIN g b USING (g) WHERE a.model <> b.model AND b.model = 'seasonal_naive_day' GROUP BY a.model)",
+    )
+
+
+def _won(unit: str):
+    by = lambda t: t.baselines().withColumn("g", F.date_trunc(unit, "origin_time_utc"))
+    return lambda t: M.wins(by(t), [m for m in MODELS if m != "seasonal_naive_day"], "seasonal_naive_day", ["g"])
+
+
+query("wins_per_month", _wins("month"))(_won("month"))
+query("wins_per_week", _wins("week"))(_won("week"))
+
+
+@query("least_mae", sql("mae:d model", "x", *SHORT, LONG, scored("horizon_h"), "x AS (SELECT min(mae) AS mae, arg_min(model, (mae, model)) AS model FROM sc WHERE model <> 'stored_forecast')"))
+def _(t):
+    return M.least_mae(M.score_by(t.baselines(), MODELS, ["horizon_h"]), ["stored_forecast"])
+
+
+@query(
+    "top_errors_by_model",
+    sql("model horizon_h:d mae:d rank:i", "x", *SHORT, LONG, scored("horizon_h"),
+        "x AS (SELECT * FROM (SELECT model, horizon_h, mae, row_number() OVER (PARTITION BY model ORDER BY mae DESC, horizon_h) AS rank FROM sc) WHERE rank <= 15)"),
+)
 def _(t):
-    x = t.light().dropna(subset=["f_intensity_latest", "y_actual"])
-    return x.groupBy(F.floor("f_target_local_hour").alias("hour")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("f_intensity_latest") - F.col("y_actual"))).alias("mae"))
+    scores = M.score_by(t.baselines(), MODELS, ["horizon_h"]).select("model", "horizon_h", "mae")
+    return M.top(scores, "mae", 15, ["model"], ["horizon_h"])
 
 
-@query("wins_per_month", sql("week wins:i n:i", "x", *SHORT, LONG, "w AS (SELECT date_trunc('week', origin_time_utc)::TIMESTAMP AS week, origin_time_utc, avg(abs(persistence - y_actual)) AS a, avg(abs(seasonal_naive_day - y_actual)) AS b FROM common GROUP BY ALL), x AS (SELECT week, sum((a < b)::INTEGER) AS wins, count(*) AS n FROM w GROUP BY week)"))
+@query(
+    "residual_density",
+    sql("model bin:i n:i density:d median:d", "x", *SHORT, LONG,
+        "e AS (SELECT model, greatest(least(p - y_actual, 160), -160) AS e FROM long)",
+        "b AS (SELECT model, least(floor((e + 160) / 5) * 5 - 160, 155) AS bin, count(*) AS n FROM e GROUP BY ALL)",
+        "m AS (SELECT model, median(e) AS median FROM e GROUP BY model)",
+        "x AS (SELECT b.*, n / (sum(n) OVER (PARTITION BY model)) / 5 AS density, median FROM b JOIN m USING (model))"),
+)
 def _(t):
-    c = t.baselines().dropna(subset=["y_actual", *MODELS])
-    mae = lambda m: F.avg(F.abs(F.col(m) - F.col("y_actual")))
-    w = c.groupBy(F.date_trunc("week", "origin_time_utc").cast("timestamp_ntz").alias("week"), "origin_time_utc").agg(mae("persistence").alias("a"), mae("seasonal_naive_day").alias("b"))
-    return w.groupBy("week").agg(F.sum((F.col("a") < F.col("b")).cast("long")).alias("wins"), F.count("*").alias("n"))
+    return M.residuals(t.baselines(), MODELS)
 
 
-VARIANTS = [B.Variant("no_weather", ("f_",), SET.start, quantiles=True), B.Variant("weather_forecast", ("f_", "wxf_"), SET.start)]
+@query(
+    "calibration_by_fold",
+    sql("fold n:i raw_coverage:d adjustment:d coverage_raw:d coverage_conformal:d", "y", *SHORT, BAND,
+        """ok AS (SELECT * FROM band WHERE y_actual IS NOT NULL AND lo IS NOT NULL),
+ r AS (SELECT fold, greatest(lo - y_actual, y_actual - hi) AS score, row_number() OVER (PARTITION BY fold ORDER BY greatest(lo - y_actual, y_actual - hi)) AS rank, ceil((count(*) OVER (PARTITION BY fold) + 1) * 0.8::DOUBLE) AS k FROM ok),
+ q AS (SELECT fold, count(*) AS n, avg((score <= 0)::INTEGER) AS raw_coverage, coalesce(max(score) FILTER (WHERE rank = k), 'inf'::DOUBLE) AS adjustment FROM r GROUP BY fold),
+ y AS (SELECT q.*, c.raw AS coverage_raw, c.conformal AS coverage_conformal FROM q JOIN (SELECT fold, 100 * avg((y_actual BETWEEN lo AND hi)::INTEGER) AS raw,
+  100 * avg((y_actual BETWEEN lo - adjustment AND hi + adjustment)::INTEGER) AS conformal FROM ok JOIN q USING (fold) GROUP BY fold) c USING (fold))"""),
+)
+def _(t):
+    b = t.banded()
+    q = M.conformal(b, "lo", "hi", 0.2, ["fold"])
+    x = b.join(q.select("fold", "adjustment"), "fold").withColumns({"clo": F.col("lo") - F.col("adjustment"), "chi": F.col("hi") + F.col("adjustment")})
+    return M.calibration(q, x, "fold", {"raw": ("lo", "hi"), "conformal": ("clo", "chi")})
+
+
+_ENRICHED = "x AS (SELECT base.*, c.uk_date AS target_uk_date, c.local_hour AS target_local_hour, c.month AS target_month, w.wind_pct AS target_actual_wind_pct FROM base JOIN cal c ON c.period = target_time_utc LEFT JOIN wide w ON w.period = target_time_utc)"
+
+
+@query("result_enrichment", sql("origin_time_utc horizon_h:d persistence:d target_uk_date target_local_hour:d target_month:i target_actual_wind_pct:d", "x", EV, RAW, STG, SLOTS, MIX, WIDE, HOL, cal_sql(), GRID, BASE, _ENRICHED))
+def _(t):
+    x = T.with_target_context(t.baselines(), t.calendar(), T.stage_mix(t.mix(), list(KINDS)))
+    return x.select("origin_time_utc", "horizon_h", "persistence", "target_uk_date", "target_local_hour", "target_month", "target_actual_wind_pct")
+
+
+@query(
+    "calendar_profile",
+    sql("local_hour:d is_weekend n:i mean:d", "x", EV, RAW, STG, SLOTS, HOL, cal_sql(),
+        "x AS (SELECT local_hour, is_weekend, count(actual) AS n, avg(actual) AS mean FROM cal JOIN stg USING (period) GROUP BY ALL)"),
+)
+def _(t):
+    return t.calendar().join(t.staged(), "period").groupBy("local_hour", "is_weekend").agg(F.count("actual").alias("n"), F.avg("actual").alias("mean"))
+
+
+@query("boolean_aggregates", sql("event_type any_late all_priced one_type n:i", "(SELECT event_type, bool_or(hour(ts) >= 20) AS any_late, bool_and(value >= 0) AS all_priced, any_value(event_type) AS one_type, count(*) AS n FROM events GROUP BY ALL)"))
+def _(t):
+    text = "SELECT event_type, bool_or(hour(ts) >= 20) AS any_late, bool_and(value >= 0) AS all_priced, any_value(event_type) AS one_type, count(*) AS n FROM {e} GROUP BY ALL"
+    return t.spark.sql(text, e=t.read("events"))
+
+
+@query(
+    "weather_completeness",
+    sql("location_id time", "x", EV, WX, "x AS (SELECT location_id, time FROM (SELECT * FROM wx WHERE NOT (lead_days = 2 AND hour(time) = 7)) WHERE lead_days > 0 GROUP BY ALL HAVING count(DISTINCT lead_days) = 3)"),
+)
+def _(t):
+    return K.complete(t.weather().where("not (lead_days = 2 and hour(time) = 7)"), ["location_id", "time"], SET.lead_days)
+
+
+#: The models over the stand-in series; EDGES are its folds.
+VARIANTS = [replace(v, train_start=SET.start) for v in SET.variants]
 EDGES = [(datetime(2024, 1, 22), datetime(2024, 1, 25)), (datetime(2024, 1, 25), datetime(2024, 1, 31))]
-_FIT = {v.name: Params(rounds=30, depth=3) for v in VARIANTS}
+_FIT = {v.name: Params() for v in VARIANTS}
 
 
 @query("backtest_gbt")
@@ -606,12 +703,16 @@ def _(t):
     return B.run(t.training(), EDGES, VARIANTS, _FIT, SET)
 
 
+@query("backtest_calibration")
+def _(t):
+    return B.calibration(B.run(t.training(), EDGES, VARIANTS, _FIT, SET), SET)
+
+
 @query("feature_importance")
 def _(t):
-    return B.importance(t.training(), EDGES[-1], VARIANTS, _FIT)
+    return B.importance(t.training(), EDGES[-1], VARIANTS[:2], _FIT)
 
 
 @query("tune_random_search")
 def _(t):
-    few = Settings(suspect_max=300.0, n_search=2, max_rounds=20, early_stopping=10)
-    return B.tune(t.training(), datetime(2024, 1, 22), datetime(2024, 1, 31), VARIANTS[:1], few)
+    return B.tune(t.training(), datetime(2024, 1, 22), datetime(2024, 1, 31), [v for v in VARIANTS if not v.params_from], SET)
