@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import json
 import re
+from dataclasses import replace
 from datetime import datetime, timedelta
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid import __main__ as cli
-from tidegrid.params import Settings
+from tidegrid.params import Settings, load_tuned
 from tidegrid.plans import build, report
 from tidegrid.sources import tables as K
 from tidegrid.sources.payloads import HttpClient
@@ -47,11 +49,51 @@ def test_ingestion_asks_only_for_what_is_missing(spark, tmp_path):
     assert calls[-1] == (datetime(2024, 1, 3, 0, 30), datetime(2024, 1, 4)) and K.read(spark, store, "raw_intensity").count() == 5 * 48
 
 
+def weather_server(calls, hole=None):
+    """Hourly arrays for whole days, or for previous runs of them."""
+
+    def opener(url):
+        a, b, lat, names = re.fullmatch(r"http://w/(\S+)/(\S+)/(\S+)/\S+\?(\S+)", url).groups()
+        calls.append((a, b, float(lat), names))
+        first, last = (datetime.fromisoformat(x) for x in (a, b))
+        hours = [first + timedelta(hours=h) for h in range(((last - first).days + 1) * 24)]
+        out = {"time": [t.strftime("%Y-%m-%dT%H:%M") for t in hours]}
+        for n in names.split(","):
+            out[n] = [None if t == hole else float(lat) + t.hour for t in hours]
+        return io.BytesIO(json.dumps({"hourly": out}).encode())
+
+    return HttpClient(interval=0, opener=opener, sleep=lambda s: None)
+
+
+def test_weather_is_asked_by_site_and_lead_day(spark, tmp_path):
+    store, calls, s = str(tmp_path), [], Settings()
+    a, b = datetime(2024, 3, 9), datetime(2024, 3, 11, 23)
+    url = "http://w/{start}/{end}/{latitude}/{longitude}?{hourly}"
+    urls = {"weather_archive": url, "weather_prev_runs": url}
+    plan = build.ingest_all(spark, store, urls, s, weather_server(calls), a, b, dry_run=True)
+    assert len(plan) == 12 and all(x == {"requests": 1, "rows": 0} for x in plan.values()) and not calls
+    assert K.read(spark, store, "raw_weather_locations").count() == 0
+    made = build.ingest_all(spark, store, urls, s, weather_server(calls, hole=datetime(2024, 3, 10, 5)), a, b)
+    assert sum(x["rows"] for x in made.values()) == 6 * 71 * 4 and len(calls) == 12
+    assert sorted(r.location_id for r in K.read(spark, store, "raw_weather_locations").collect()) == sorted(x[0] for x in s.sites)
+    assert len(calls[-1][3].split(",")) == 12 and "temperature_2m_previous_day3" in calls[-1][3]
+    K.put(K.read(spark, store, "raw_weather_prev_runs").where("not (location_id = 'london' and lead_days = 2 and hour(time_utc) = 7)"), store, "raw_weather_prev_runs")
+    again = build.ingest_all(spark, store, urls, s, weather_server(calls), a, b)
+    assert again["weather_prev_runs/london"]["requests"] == 1 and again["weather_archive/london"]["requests"] == 1
+    got = K.read(spark, store, "raw_weather_prev_runs")
+    assert got.count() == 6 * 72 * 3 and got.where("location_id = 'london' and wind_speed_100m >= 51.5").count() == 72 * 3
+    done = build.ingest_all(spark, store, urls, s, weather_server(calls), a, b)
+    assert not any(x["requests"] for x in done.values())
+    with pytest.raises(ValueError):
+        build.ingest_all(spark, store, {"tides": url}, s, weather_server(calls), a, b)
+
+
 def test_build_backtest_and_reports(spark, tmp_path, capsys):
     store, s = str(tmp_path / "store"), tmp_path / "settings.yaml"
-    Settings(start=datetime(2024, 1, 1), n_search=1, max_rounds=5, early_stopping=5).dump(s)
-    assert Settings.load(s).n_search == 1
-    n = 40 * 48
+    own = Settings(start=datetime(2024, 1, 1), n_search=1, max_rounds=5, early_stopping=5, variants=tuple(replace(v, train_start=datetime(2024, 1, 1)) for v in Settings().variants))
+    own.dump(s)
+    assert Settings.load(s) == own
+    n = 75 * 48
     slots = spark.range(n).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 1800).cast("timestamp_ntz").alias("period_start_utc"), "id")
     now = F.lit(datetime(2024, 6, 1)).cast("timestamp_ntz").alias("ingested_at_utc")
     end = (F.col("period_start_utc") + F.expr("interval 30 minutes")).alias("period_end_utc")
@@ -73,11 +115,31 @@ def test_build_backtest_and_reports(spark, tmp_path, capsys):
     cli.main(["quality", *base, "--out", str(tmp_path / "q.md")])
     text = (tmp_path / "q.md").read_text()
     assert "actual = 0" in text and "| 6 |" in text
-    cli.main(["tune", *base, "--start", "2024-01-25", "--end", "2024-02-01"])
-    cli.main(["backtest", *base, "--start", "2024-01-28", "--end", "2024-02-06", "--rounds", "3"])
-    cli.main(["evaluate", *base, "--out", str(tmp_path / "e.md")])
+    with pytest.raises(FileNotFoundError):
+        cli.main(["backtest", *base, "--start", "2024-03-04", "--end", "2024-03-14"])
+    cli.main(["tune", *base, "--start", "2024-02-20", "--end", "2024-03-01", "--n-search", "2"])
+    tuned = load_tuned(f"{store}/tuned.yaml")
+    assert set(tuned) == {"no_weather", "weather_forecast"} and all(1 <= t["rounds"] <= 5 for t in tuned.values())
+    assert spark.read.parquet(f"{store}/tuning_trials").count() == 4
+    cli.main(["backtest", *base, "--start", "2024-03-04", "--end", "2024-03-14"])
+    doc = tmp_path / "doc.md"
+    doc.write_text("before\n<!-- overall:start -->\nold\n<!-- overall:end -->\nafter\n")
+    for _ in range(2):
+        cli.main(["evaluate", *base, "--out", str(tmp_path / "e.md"), "--figures", str(tmp_path / "f"), "--document", str(doc)])
+        assert "old" not in doc.read_text() and "weather_forecast" in doc.read_text() and doc.read_text().endswith("after\n")
     text = (tmp_path / "e.md").read_text()
-    assert all(x in text for x in ("weather_forecast", "seasonal_naive_day", "coverage conformal", "residuals"))
+    wanted = ("weather_forecast", "oracle_weather", "no_weather_short", "seasonal_naive_day", "stored_forecast", "coverage conformal by fold", "by wind regime", "by local hour", "calibration", "months won", "importance", "residuals")
+    assert [x for x in wanted if x not in text] == []
+    figures = {f.name: f.read_text() for f in (tmp_path / "f").iterdir()}
+    assert {"mae_by_horizon.svg", "residuals.svg", "error_by_hour.svg", "error_by_season.svg", "error_by_wind_regime.svg", "feature_importance_weather_forecast.svg"} <= set(figures)
+    assert all(ElementTree.fromstring(x).tag.endswith("svg") for x in figures.values())
+    folds = spark.read.parquet(f"{store}/backtest_interval_calibration").collect()
+    assert folds and all(r.variant == "weather_forecast" and r.calibration_start < r.fold_start for r in folds)
+    cli.main(["explore", *base, "--start", "2024-03-06", "--out", str(tmp_path / "x.html")])
+    assert all(x in (tmp_path / "x.html").read_text() for x in ("<svg", "Scores in the window", "conformal"))
+    assert K.missing(spark, store, [*report.REQUIRED, "other"]) == ["other"]
+    with pytest.raises(ValueError):
+        report.explorer(spark, str(tmp_path / "none"), datetime(2024, 1, 1), datetime(2024, 1, 2), 12, [])
     got = spark.read.parquet(f"{store}/backtest_results")
     a, b = report.target_range(got)
     assert a < b and report.window(got.select("target_time_utc", "y_actual", "p"), a, b, ["p"]).first().n > 0
