@@ -123,13 +123,17 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint(b" \n") == 0 and simhash.fingerprint(b"A b") == xxhash.xxh64_intdigest(b"a b", 42)
 
 
-def test_jaccard_of_sketches():
+def test_sketches_keep_similar_sets():
+    """Sets at the limit of similarity share far more of their sketches than the least that is asked for; far sets share less."""
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**32, 2000, dtype=np.uint32)
-    b = np.concatenate([a[:1800], rng.integers(0, 2**32, 200, dtype=np.uint32)])
-    pack = lambda x: np.unique(x)[: simhash.SKETCH].tobytes()
-    assert abs(simhash.jaccard(pack(a), 2000, pack(b), 2000) - 1800 / 2200) < 0.1
-    assert simhash.jaccard(pack(a[:4]), 4, pack(a[1:5]), 4) == 3 / 5 and simhash.jaccard(b"", 0, b"", 0) == 1
+    shared = []
+    for common, own in ((1600, 200), (300, 1500)):
+        for _ in range(200):
+            x = rng.integers(0, 2**63, common + 2 * own, dtype=np.uint64)
+            a, b = np.sort(x[: common + own]), np.sort(np.concatenate([x[:common], x[common + own :]]))
+            shared.append(len(np.intersect1d(a[: simhash.SKETCH], b[: simhash.SKETCH])))
+    least = (0.8 - simhash.MARGIN) * simhash.SKETCH
+    assert min(shared[:200]) >= least and max(shared[200:]) < least
 
 
 def test_risk_is_the_class_risk():

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.graph import components
-from tidegrid.llm.store import cut, drop
+from tidegrid.llm.store import cut, drop, id_filter
 from tidegrid.llm.tokens import binary_buffer, keep_only, mix, slices, split_words
 
 
@@ -102,12 +103,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return fps.join(node, "fp").select("id", "fp", "component_id")
 
 
-#: Least hashes kept of a text's shingles to reject pairs that are far from similar, and the margin below the limit at which they do
-#: (six times the error of 256 hashes); whatever is nearer is measured on the whole sets.
-SKETCH = 256
-MARGIN = 0.15
-#: Counters of the shingles' approximate frequency: 1 MB whatever the number of texts.
-SLOTS = 1 << 20
+#: Least hashes kept of a text's shingles to reject pairs that are far from similar, by the share that both have, and the margin below the
+#: limit at which they do (six times the error of 64 hashes); whatever is nearer is measured on the whole sets.
+SKETCH = 64
+MARGIN = 0.3
+#: Counters of the shingles' approximate frequency: 8 MB whatever the number of texts.
+SLOTS = 1 << 23
 
 
 def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -129,7 +130,7 @@ def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                 yield one if y > x else one[:0]
 
 
-def _levels(d: DataFrame, shingle: int, sample: int = 50_000) -> np.ndarray:
+def _levels(d: DataFrame, shingle: int, sample: int = 250_000) -> np.ndarray:
     """How common the shingles of each slot are among about ``sample`` texts, on a scale of logarithms.
 
     It only orders the shingles, so that common ones seldom are keys: any other table gives the same groups at another cost.
@@ -139,15 +140,22 @@ def _levels(d: DataFrame, shingle: int, sample: int = 50_000) -> np.ndarray:
     part = SLOTS // 16
 
     def count(batches):
-        sums = np.zeros(SLOTS, np.int64)
+        sums = None
         for b in (x for batch in batches for x in slices(batch)):
-            sets = list(shingle_sets(b.column(1), shingle))
-            sums += np.bincount(np.concatenate(sets).astype(np.int64) & (SLOTS - 1), minlength=SLOTS) if sets else 0
-        for k in range(16 if sums.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k * part : (k + 1) * part].tobytes()], pa.binary())], ["part", "sums"])
+            sets = list(shingle_sets(b.column(2), shingle))
+            if sets:
+                slot, times = np.unique(np.concatenate(sets) & np.uint64(SLOTS - 1), return_counts=True)
+                sums = np.zeros(SLOTS, np.uint16) if sums is None else sums
+                slot = slot.astype(np.int64)
+                sums[slot] = np.minimum(sums[slot] + times, 65535)
+        for k in range(16 if sums is not None else 0):
+            packed = zlib.compress(sums[k * part : (k + 1) * part].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["part", "sums"])
 
     def add(table):
-        sums = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+        sums = np.zeros(part, np.int64)
+        for x in table.column("sums"):
+            sums += np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
         return pa.table({"part": table.column("part")[:1], "levels": pa.array([(4 * np.log2(sums + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
     levels = np.zeros(SLOTS, np.uint8)
@@ -157,99 +165,94 @@ def _levels(d: DataFrame, shingle: int, sample: int = 50_000) -> np.ndarray:
 
 
 def _prefixes(levels: np.ndarray, shingle: int, similarity: float):
-    """Rows (id, mark, n, prefix): digest and size of a text's shingle set, and its rarest shingles, so many that two sets of at least
-    ``similarity`` have one of them in common."""
+    """Rows (id, h, mark, n, sketch, prefix): digest, size and sketch (least values) of a text's shingle set, and its rarest shingles, so many
+    that two sets of at least ``similarity`` have one of them in common."""
+
+    def lists(rows: list[np.ndarray], kind) -> pa.ListArray:
+        ends = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(kind) if rows else np.zeros(0, kind)))
 
     def run(batches):
         keep_only("simhash", lambda: None)
         for b in (part for batch in batches for part in slices(batch)):
-            marks, sizes, keys = [], [], []
-            for s in shingle_sets(b.column(1), shingle):
+            marks, sizes, least, keys = [], [], [], []
+            for s in shingle_sets(b.column(2), shingle):
                 order = np.argsort(levels[s.astype(np.int64) & (SLOTS - 1)], kind="stable")
                 marks.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
-                keys.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
-            ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), lists], ["id", "mark", "n", "prefix"])
+                least.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32))
+                keys.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]])
+            columns = [b.column(0), b.column(1), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), lists(least, np.int32), lists(keys, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "mark", "n", "sketch", "prefix"])
 
     return run
 
 
 def _whole_sets(shingle: int):
-    """Rows (id, n, sketch, hashes): a text's whole shingle set and a sketch of it."""
+    """Rows (node, hashes): a text's whole shingle set."""
 
     def run(batches):
         for b in (part for batch in batches for part in slices(batch)):
             sets = list(shingle_sets(b.column(1), shingle))
-            least = [np.unique((s >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sketch", "hashes"])
-
-    return run
-
-
-def _passing(ok):
-    """Keeps the first two columns of rows whose other columns pass ``ok``."""
-
-    def run(batches):
-        for b in batches:
-            good = pa.array([ok(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["u", "v"])
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hashes"])
 
     return run
 
 
-def similar(a: bytes, b: bytes, similarity: float) -> bool:
-    """Whether two whole sets of sorted 64-bit hashes are of ``similarity`` or more."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both) - 1e-9
-
+def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, t): rows with an id, known by it and a hash of their text."""
+    t = F.col(text_col).cast("binary")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(t, F.lit(b""))).alias("h"), t.alias("t"))
 
-def jaccard(a: bytes, n: int, b: bytes, m: int) -> float:
-    """Similarity of two sets from their sketches: exact while both are complete, else the share of common values among the least ones of both."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)
-    if n > SKETCH or m > SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
 
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts linked by a similarity of their distinct ``shingle``-word shingles of ``similarity`` or more.
-
-    Exact, whatever the number of texts. In any order of all shingles, two sets that similar have one in common among the
-    first (1 - similarity) of each, so every text is entered under those, in order of rarity. Of the texts that meet under a
-    key, first all are compared with the one that meets the most others, which joins a family to its base. Then, while that halves
-    what is left, with another of those left over; at last each of these with all members of other groups, so no link between groups
-    is left out. Far pairs are rejected by sketches, the others verified on their whole sets. Equal sets are one node. Null
-    and empty texts are alike. Null ids are dropped; an empty table gives no rows.
-    """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+def _grouped(d: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, h, first) for the rows of _known(): ``first`` is the least struct (id, h) of the row's group. See near_copies()."""
     kind = d.schema["id"].dataType.simpleString()
-    rows = cut(d.mapInArrow(_prefixes(_levels(d, shingle), shingle, similarity), f"id {kind}, mark binary, n int, prefix array<long>"), "prefixes")
-    nodes = cut(rows.groupBy("mark").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "distinct")
-    post = nodes.select("rep", "n", F.explode("prefix").alias("key"))
-    full = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    prefixes = d.mapInArrow(_prefixes(_levels(d, shingle), shingle, similarity), f"id {kind}, h long, mark binary, n int, sketch array<int>, prefix array<long>")
+    rows = cut(prefixes.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    marks = cut(rows.groupBy("mark").agg(F.min("node").alias("rep"), F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies")), "marks")
+    # Equal sets are one node. Rows whose set surely no other row has need no exchange.
+    twice = marks.where("copies > 1").select("mark", "rep")
+    maybe = id_filter(twice, "mark")
+    nodes = rows.where(~maybe).unionByName(rows.where(maybe).join(twice, "mark", "left").where("rep is null or node = rep").drop("rep"))
+    post = nodes.select("node", F.posexplode("prefix").alias("at", "key"))
+    full = cut(post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
     met = cut(post.join(full, "key"), "met")
-    load = met.groupBy("rep").agg(F.sum("size").alias("load"))
-    met = cut(met.select("key", "rep", "n").join(load, "rep"), "members")
-    few = met.select(F.col("rep").alias("id")).distinct()
-    sets = cut(d.join(few, "id", "left_semi").mapInArrow(_whole_sets(shingle), f"id {kind}, n int, sketch binary, hashes binary").dropDuplicates(["id"]), "sets")
+    load = met.groupBy("node").agg(F.sum("size").alias("load"))
+    few = cut(nodes.select("node", "id", "h", "n", "sketch").join(load, "node"), "few")
+    met = cut(met.select("key", "at", F.col("node").alias("rep")).join(few.select(F.col("node").alias("rep"), "n", "load"), "rep"), "members")
+
+    def of(c: str, table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("node").alias(c), F.col(name).alias(f"{c}_{name}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (u, v, and sizes u_n, v_n) that are similar."""
-        pairs = pairs.where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        of = lambda c, *names: sets.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in names])
-        at = pairs.join(of("u", "sketch", "n"), "u").join(of("v", "sketch", "n"), "v").select("u", "v", "u_sketch", "u_n", "v_sketch", "v_n")
-        close = cut(at.mapInArrow(_passing(lambda p, n, q, m: jaccard(p, n, q, m) >= similarity - MARGIN), f"u {kind}, v {kind}"), "close")
-        at = close.join(of("u", "hashes"), "u").join(of("v", "hashes"), "v").select("u", "v", "u_hashes", "v_hashes")
-        return cut(at.mapInArrow(_passing(lambda p, q: similar(p, q, similarity)), f"u {kind}, v {kind}"), "links")
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("u_n")).otherwise(F.col("v_n")).alias("u_n"),
+                                         F.when(F.col("u") < F.col("v"), F.col("v_n")).otherwise(F.col("u_n")).alias("v_n")).distinct()
+        both = F.size(F.array_intersect("u_sketch", "v_sketch"))
+        far = both < (similarity - MARGIN) * F.least("u_n", "v_n", F.lit(SKETCH))
+        close = cut(pairs.join(of("u", few, "sketch"), "u").join(of("v", few, "sketch"), "v").where(~far).select("u", "v"), "close")
+        ends = cut(few.select("node", "id", "h").join(close.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"), "ends")
+        texts = d.where(id_filter(ends, "id", "h")).join(ends, ["id", "h"]).groupBy("id", "h").agg(F.first("node").alias("node"), F.first("t").alias("t"))
+        sets = cut(texts.select("node", "t").mapInArrow(_whole_sets(shingle), "node long, hashes array<long>"), "sets")
+        both = F.size(F.array_intersect("u_hashes", "v_hashes"))
+        alike = both >= similarity * (F.size("u_hashes") + F.size("v_hashes") - both) - 1e-9
+        links = cut(close.join(of("u", sets, "hashes"), "u").join(of("v", sets, "hashes"), "v").where(alike).select("u", "v"), "links")
+        for done in (close, ends, sets):
+            drop(done)
+        return links
+
+    def may_be(n: Column, at: Column, m: Column, there: Column) -> Column:
+        """Whether sets of n and m shingles can be similar if the one at these places of their orders is the first that they have in
+        common: so many must be left from there on. A similar pair meets this at its first common shingle."""
+        return F.least(n - at, m - there) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
     def spokes(hubs: DataFrame, members: DataFrame) -> DataFrame:
         """Each key's hub, the member of the greatest load, with all members of other groups."""
-        hub = hubs.groupBy("key").agg(F.max_by(F.struct("rep", "n", "root"), F.struct("load", "rep")).alias("hub"))
-        return members.join(hub, "key").where("root <> hub.root").select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("hub.rep").alias("v"), F.col("hub.n").alias("v_n"))
+        hub = hubs.groupBy("key").agg(F.max_by(F.struct("rep", "n", "at", "root"), F.struct("load", "rep")).alias("hub"))
+        met = members.join(hub, "key").where((F.col("root") != F.col("hub.root")) & may_be(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
+        return met.select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("hub.rep").alias("v"), F.col("hub.n").alias("v_n"))
 
     everywhere = met.withColumn("root", F.col("rep"))
     links = verified(spokes(everywhere, everywhere))
@@ -264,9 +267,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last = not found or work <= 4 * n_met or work > before / 2
         before = work
         if last:
-            x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"), "main")
-            y = now.select("key", F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
-            more = verified(x.join(y, "key").where((F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("main")) | (F.col("u") < F.col("v")))))
+            x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("at").alias("u_at"), F.col("root").alias("u_root"), "main")
+            y = now.select("key", F.col("rep").alias("v"), F.col("n").alias("v_n"), F.col("at").alias("v_at"), F.col("root").alias("v_root"))
+            once = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("main")) | (F.col("u") < F.col("v")))
+            more = verified(x.join(y, "key").where(once & may_be(F.col("u_n"), F.col("u_at"), F.col("v_n"), F.col("v_at"))))
         else:
             more = verified(spokes(left, now))
         found = more.count()
@@ -275,11 +279,42 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if last:
             break
     roots = components(links) if found else roots
-    named = nodes.select("mark", "rep").join(roots.withColumnsRenamed({"node": "rep", "root": "component_id"}), "rep", "left").select("mark", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("id", "mark").join(named, "mark").select("id", "component_id")
+    rooted = cut(marks.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("mark", "first", F.coalesce("root", "rep").alias("root")), "rooted")
+    group = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("mark", "root").join(group, "root").select("mark", "first")
+    out = cut(rows.select("id", "h", "mark").join(named, "mark").select("id", "h", "first"), "grouped")
+    for done in (rows, marks, full, met, few, rooted):
+        drop(done)
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): groups of texts linked by a similarity of their distinct ``shingle``-word shingles of ``similarity`` or more.
+
+    Exact, whatever the number of texts. In any order of all shingles, two sets that similar have one in common among the
+    first (1 - similarity) of each, so every text is entered under those, in order of rarity. Of the texts that meet under a
+    key, and that have enough of their shingles after it, first all are compared with the one that meets the most others, which
+    joins a family to its base. Then, while that halves what is left, with another of those left over; at last each of these with
+    all members of other groups, so no link between groups is left out. Far pairs are rejected by sketches, the others verified on their whole sets. Equal sets are one node. Null
+    and empty texts are alike. Rows that share an id are compared each by its own text, and have a row here each; component_id
+    is the smallest id of a group. Null ids are dropped; an empty table gives no rows.
+    """
+    return _grouped(_known(docs, id_col, text_col), shingle, similarity).select("id", F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near_copies(), that of the smallest id."""
-    keep = near_copies(docs, id_col, text_col, shingle, similarity).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """docs with one row of each group of near_copies(): that of the smallest id (and, of one id's texts, of the least hash; of equal rows, one).
+
+    Rows with a null id are compared with nothing and stay. Only rows that may be affected go through an exchange.
+    """
+    d = _known(docs, id_col, text_col)
+    rows = _grouped(d, shingle, similarity)
+    stays = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone = cut(rows.where(~stays).select("id", "h").distinct(), "gone")
+    again = rows.where(stays).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h")
+    touched = id_filter(gone.unionByName(again), "_id", "_h", names=("id", "h"))
+    h = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), h.alias("_h"))
+    touched = F.col("_id").isNotNull() & touched
+    hit = keyed.where(touched).join(gone.select(F.col("id").alias("_id"), F.col("h").alias("_h")), ["_id", "_h"], "left_anti").groupBy("_id", "_h").agg(F.first("_row").alias("_row"))
+    return keyed.where(~touched).select("_row").unionByName(hit.select("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

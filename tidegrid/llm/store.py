@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,21 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def id_filter(ids: DataFrame, *cols: str, bits: int = 1 << 20) -> Column:
-    """A condition on columns ``cols`` (of the same types on both sides) that holds for every row of ``ids`` and for few others.
+def id_filter(ids: DataFrame, *cols: str, names: tuple[str, ...] = (), bits: int = 1 << 23) -> Column:
+    """A condition on columns ``cols`` (called ``names`` in ids, if otherwise; of the same types) that holds for every row of ``ids`` and few others.
 
-    It is a bit map of fixed size (``bits``/8 bytes, whatever the number of ids) placed in the plan; it spares the
-    exchange of rows that a following join would drop. When it is full it only stops sparing, so results never depend on it.
+    It is a bit map of fixed size (``bits``/8 bytes, 1 MB, whatever the number of ids), a scalar subquery of the plan; it spares
+    the exchange of rows that a following join would drop. When it is full it only stops sparing, so results never depend on it.
     """
-    at = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    place = lambda xs: F.pmod(F.xxhash64(*xs), F.lit(bits))
     rows = (
-        ids.select(at.alias("at"))
+        ids.select(place(names or cols).alias("at"))
         .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("m"))
-        .collect()
+        .toArrow()
     )
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r["word"]] = r["m"]
-    table = F.lit(np.array(words, dtype=np.int64))
+    words = np.zeros(bits // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("m").to_numpy()
+    table = ids.sparkSession.createDataFrame(pa.table({"m": pa.array([words], pa.list_(pa.int64()))})).scalar()
+    at = place(cols)
     return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
