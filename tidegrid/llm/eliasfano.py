@@ -45,12 +45,14 @@ class EliasFano:
     def _select(self, before: np.ndarray, words, k: np.ndarray) -> np.ndarray:
         """Place of the k-th set bit of words, of which words(w) is the w-th and has before[w] set bits before it."""
         word = np.searchsorted(before, k, "right") - 1
-        left = k - before[word]
-        each = np.ascontiguousarray(words(word)).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.int64)
-        byte = (upto <= left[:, None]).sum(1)
-        i = np.arange(len(k))
-        return word * 64 + byte * 8 + _NTH[each[i, byte], left - np.where(byte > 0, upto[i, byte - 1], 0)]
+        left, each, at = k - before[word], words(word), word * 64
+        for half in (32, 16, 8):  # is it in the upper half? At last one byte is left, and a table says where in it
+            lower = np.bitwise_count(each & _U((1 << half) - 1))
+            upper = left >= lower
+            left = left - lower * upper
+            step = upper * half
+            each, at = each >> step.astype(np.uint64), at + step
+        return at + _NTH[each & _U(255), left]
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th unset bit of high."""
@@ -75,7 +77,10 @@ class EliasFano:
 
     def successor(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of the first element of at least each value (n if none), among elements lo:hi where given; values lie in the universe."""
-        v = values.astype(np.uint64)
+        return self._successor(values.astype(np.uint64), lo, hi)[0]
+
+    def _successor(self, v: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The successors, and where the elements with the value's upper part end."""
         h = (v >> _U(self.width)).astype(np.int64)
         low = v & _U((1 << self.width) - 1)
         end = self._zero(h) - h
@@ -84,6 +89,7 @@ class EliasFano:
         i[some] = self._zero(h[some] - 1) - (h[some] - 1)
         if lo is not None:
             i, end = np.clip(i, lo, hi), np.minimum(end, hi)
+        stop = end.copy()
         # Elements with one upper part are as many as a frequent context has followers: halve, don't walk.
         open_ = np.flatnonzero(i < end)
         while len(open_):
@@ -92,7 +98,7 @@ class EliasFano:
             i[open_] = np.where(less, mid + 1, i[open_])
             end[open_] = np.where(less, end[open_], mid)
             open_ = open_[i[open_] < end[open_]]
-        return i
+        return i, stop
 
     def values(self) -> np.ndarray:
         """All elements."""
@@ -102,11 +108,10 @@ class EliasFano:
 
     def find(self, values: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each value, -1 where it isn't an element (of lo:hi, where given)."""
-        i = self.successor(values, lo, hi)
-        out = np.full(len(i), -1, np.int64)
         v = values.astype(np.uint64)
-        h = (v >> _U(self.width)).astype(np.int64)
-        k = np.flatnonzero(i < (self._zero(h) - h if hi is None else np.minimum(self._zero(h) - h, hi)))
+        i, stop = self._successor(v, lo, hi)
+        out = np.full(len(i), -1, np.int64)
+        k = np.flatnonzero(i < stop)
         k = k[self.lows(i[k]) == (v[k] & _U((1 << self.width) - 1))]
         out[k] = i[k]
         return out

@@ -22,6 +22,8 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: log10 probabilities are kept as 16-bit steps of -_STEP.
 _STEP = 16 / 65535
 _SIGN = np.uint64(1 << 63)
+#: Bytes of text whose tokens are looked up together: a walk through the files costs the same for many as for few.
+STEP = 4 << 20
 #: Training tokens for one file of the second level; heavier contexts are spread over several.
 SHARD_TOKENS = 2_000_000
 
@@ -91,6 +93,17 @@ def _sum_by_key(keys: np.ndarray, counts: np.ndarray, extra: np.ndarray = np.zer
     return keys[at], np.add.reduceat(counts, at), extra[order][at] if len(extra) else extra
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each among ``keys`` (any), and for each of ``keys`` which one it is."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
+
+
 class _Tally:
     """Keys, counts and a number that goes with each key, merged whenever more than ``most`` new ones have come."""
 
@@ -98,8 +111,8 @@ class _Tally:
         self.held, self.most, self.parts = 0, most, []
 
     def add(self, keys: np.ndarray, extra: np.ndarray | None = None) -> None:
-        k, at, c = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((k, c, np.zeros(0, np.uint16) if extra is None else extra[at]))
+        k, at, back = _distinct(keys)
+        self.parts.append((k, np.bincount(back, minlength=len(k)), np.zeros(0, np.uint16) if extra is None else extra[at]))
         self.held += len(k)
 
     def full(self) -> bool:
@@ -235,7 +248,9 @@ class Trie:
         begin, keys, prob, bow = self._files(level, k)
         out = below - _STEP * bow[of].astype(np.float64)
         index = np.full(len(of), -1, np.int64)
-        first, last = begin.get(of), begin.get(of + 1)
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        own, which = of[new], np.cumsum(new) - 1
+        first, last = begin.get(own)[which], begin.get(own + 1)[which]
         some = np.flatnonzero((first < last) & (word >= 0))
         index[some] = keys.find(key[some], first[some], last[some])
         hit = np.flatnonzero(index >= 0)
@@ -325,7 +340,7 @@ _META2 = pa.schema([("file", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64())
 def _tokens(w, trie: Trie):
     """Of rows of words: each token's id, count and probability, its context's id, and where the rows begin."""
     seq, first = _sequence(w)
-    each, back = np.unique(seq ^ _SIGN, return_inverse=True)
+    each, _, back = _distinct(seq ^ _SIGN)
     ids, counts, alone = (x[back] for x in trie.ids(each))
     context = np.empty(len(ids), np.int64)
     context[1:] = ids[:-1]
@@ -429,7 +444,7 @@ _META3 = pa.schema([("file", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64())
 def _seen_pairs(ids: np.ndarray, context: np.ndarray, alone: np.ndarray, first: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
     """For each token its log10 probability after the one before it, and the number of the pair before it (-1 for a row's first token)."""
     wide = np.uint64(trie.n_words + 1)
-    _, at, back = np.unique((context + 1).astype(np.uint64) * wide + (ids + 1).astype(np.uint64), return_index=True, return_inverse=True)
+    _, at, back = _distinct((context + 1).astype(np.uint64) * wide + (ids + 1).astype(np.uint64))
     p, number = trie.pairs(context[at], ids[at], alone[at])
     before = np.full(len(ids), -1, np.int64)
     before[1:] = number[back[:-1]]
@@ -456,7 +471,7 @@ def _third_level(d: DataFrame, trie: Trie) -> Trie:
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["file", "keys", "counts", "below"])
 
         for b in batches:
-            for w in split_words(b.column(0), lower=True):
+            for w in split_words(b.column(0), lower=True, step=STEP):
                 ids, _, alone, context, first = _tokens(w, trie)
                 below, before = _seen_pairs(ids, context, alone, first, trie)
                 some = np.flatnonzero(before >= 0)
@@ -518,13 +533,13 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for b in batches:
-            for w in split_words(b.column(1), lower=True):
+            for w in split_words(b.column(1), lower=True, step=STEP):
                 ids, counts, alone, context, first = _tokens(w, trie)
                 p, before = _seen_pairs(ids, context, alone, first, trie)
                 some = np.flatnonzero(before >= 0)
                 if len(some) and trie.third.any():
                     key = before[some].astype(np.uint64) * np.uint64(trie.n_words + 1) + (ids[some] + 1).astype(np.uint64)
-                    _, at, back = np.unique(key, return_index=True, return_inverse=True)
+                    _, at, back = _distinct(key)
                     at = some[at]
                     p[some] = trie.triples(before[at], ids[at], p[at])[back]
                 base = np.log10((counts + 1.0) / (trie.n_tokens + trie.n_words + 1.0))
