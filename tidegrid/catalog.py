@@ -703,11 +703,6 @@ def _(t):
     return B.run(t.training(), EDGES, VARIANTS, _FIT, SET)
 
 
-@query("backtest_calibration")
-def _(t):
-    return B.calibration(B.run(t.training(), EDGES, VARIANTS, _FIT, SET), SET)
-
-
 @query("feature_importance")
 def _(t):
     return B.importance(t.training(), EDGES[-1], VARIANTS[:2], _FIT)
