@@ -112,6 +112,24 @@ def test_best_fit(sizes):
     assert sorted(plain) == sorted(sum(sizes[i] for i in r) for r in rows)
 
 
+@given(st.lists(st.integers(1, 16), max_size=200))
+@settings(max_examples=150, deadline=None)
+def test_plan_is_best_fit(sizes):
+    """Runs of rows take what best fit gives to rows one by one; every segment has a place of its own."""
+    from collections import Counter, defaultdict
+
+    rows = defaultdict(dict)
+    for n, k, row, per, slot, stop in packing.plan(dict(Counter(sizes)), 16).tolist():
+        for i in range(k, stop):
+            r, place = row + (i - k) // per, slot + (i - k) % per
+            assert place not in rows[r]
+            rows[r][place] = (n, i)
+    assert sorted(x for r in rows.values() for x in r.values()) == sorted((n, i) for n, c in Counter(sizes).items() for i in range(c))
+    assert sorted(rows) == list(range(len(rows))) and all(sorted(r) == list(range(len(r))) for r in rows.values())
+    plain = packing.best_fit(sizes, 16)
+    assert sorted(sum(n for n, _ in r.values()) for r in rows.values()) == sorted(sum(sizes[i] for i in r) for r in plain)
+
+
 def test_fingerprint_by_hand():
     import xxhash
 

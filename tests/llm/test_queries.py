@@ -209,6 +209,27 @@ def test_packing_loses_nothing(spark, docs, awkward, empty):
     assert packing.pack(empty, path, pattern, 50256).count() == 0
 
 
+def test_packing_of_the_whole_table(spark, docs):
+    """Whatever the size of a task's block and the partitions, rows are those of best fit over all segments; the query has the ids themselves."""
+    import tiktoken
+
+    path, pattern = vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    sizes = {}
+    for length in (128, 2048):
+        texts = [len(enc.encode_ordinary(r.text or "")) + 1 for r in docs.collect()]
+        own = [min(length, n - k) for n in texts for k in range(0, n, length)]
+        sizes[length] = sorted(sum(own[i] for i in r) for r in packing.best_fit(own, length))
+    for df in (docs, docs.repartition(7)):
+        rows = packing.pack(df, path, pattern, 50256, length=128, group_bytes=20_000).collect()
+        assert sorted(r.n_tokens for r in rows) == sizes[128] and sorted(r.row for r in rows) == list(range(len(rows)))
+    rows = Q.op3_packing(spark, SF).collect()
+    assert sorted(r.n_tokens for r in rows) == sizes[2048]
+    for r in rows:
+        assert r.row_sha256 == hashlib.sha256(np.array(r.input_ids + r.position_ids, "<i4").tobytes()).hexdigest() and len(r.input_ids) == 2048
+    assert sum(r.n_tokens for r in rows) == sum(texts)
+
+
 def test_sharding(spark, awkward, empty):
     rows = Q.op4_kdtree_sharding(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

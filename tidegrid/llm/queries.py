@@ -37,7 +37,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs, public.path(VOCABULARY), public.PATTERN, end_id=50256, length=2048, matrices=False)
+    return packing.pack(docs, public.path(VOCABULARY), public.PATTERN, end_id=50256, length=2048)
 
 
 def op4_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
