@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by shingles of five words: the one with the smallest id."""
-    return simhash.drop_near_copies(docs.select(COLUMNS), "doc_id", "text", shingle=5, similarity=0.8)
+    """One document of each near-duplicate group: the one with the smallest id. Groups are those of query op6 (SimHash, multi-index
+    hashing), joined where texts of them have a similarity of 0.8 or more by shingles of five words."""
+    return simhash.drop_near_copies(docs.select(COLUMNS), "doc_id", "text", shingle=5, similarity=0.8, fp_shingle=3)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

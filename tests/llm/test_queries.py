@@ -342,6 +342,27 @@ def test_near_copies_on_whole_sets(spark):
     assert got == plain_near(rows) and all(got[10 * k + 1] == 10 * k + 1 - k % 2 for k in range(30))
 
 
+def test_near_copies_by_fingerprint(spark, docs):
+    """Texts whose fingerprints are within 2 bits are near copies even if their sets of shingles are not alike; the rest is as before."""
+    body = [f"w{k % 40}" for k in range(4000)]  # the few shingles of the middle are most of the text, yet under 0.8 of the set
+    rows = [(7000 + i, " ".join([*(f"a{i}x{k}" for k in range(8)), *body])) for i in range(12)]
+    rng = random.Random(11)
+    w = [f"v{rng.randrange(10**9)}" for _ in range(300)]
+    rows += [(8000, " ".join(w)), (8001, " ".join(replaced(rng, w, 28, 100)))]  # similar, with fingerprints far apart
+    rows += [(r.doc_id, r.text or "") for r in docs.collect()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    f = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    by_bits = {(i, j) for i in f for j in f if i < j and (f[i] ^ f[j]).bit_count() <= 2}
+    by_sets = {(i, j) for i in f for j in f if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert any(p[0] >= 7000 for p in by_bits - by_sets) and (8000, 8001) in by_sets - by_bits
+    got = near(spark, rows)
+    assert got == components(by_bits | by_sets, list(f))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(got.values())
+    own = {r.id: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(Counter(own[i] for i in kept).values()) == 1  # no two of a group of op6 stay
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 16))

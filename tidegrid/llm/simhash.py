@@ -1,4 +1,4 @@
-"""SimHash near-duplicate groups by multi-index hashing."""
+"""SimHash near-duplicate groups by multi-index hashing, and their completion to all near copies of a given similarity."""
 
 from __future__ import annotations
 
@@ -164,9 +164,9 @@ def _levels(d: DataFrame, shingle: int, sample: int = 250_000) -> np.ndarray:
     return levels
 
 
-def _prefixes(levels: np.ndarray, shingle: int, similarity: float):
-    """Rows (id, h, mark, n, sketch, prefix): digest, size and sketch (least values) of a text's shingle set, and its rarest shingles, so many
-    that two sets of at least ``similarity`` have one of them in common."""
+def _prefixes(levels: np.ndarray, shingle: int, similarity: float, fp_shingle: int):
+    """Rows (id, h, fp, mark, n, sketch, prefix): a text's fingerprint, digest, size and sketch (least values) of its shingle set, and its
+    rarest shingles, so many that two sets of at least ``similarity`` have one of them in common."""
 
     def lists(rows: list[np.ndarray], kind) -> pa.ListArray:
         ends = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
@@ -175,6 +175,8 @@ def _prefixes(levels: np.ndarray, shingle: int, similarity: float):
     def run(batches):
         keep_only("simhash", lambda: None)
         for b in (part for batch in batches for part in slices(batch)):
+            raw, off = binary_buffer(b.column(2))
+            fps = pa.array(np.array([fingerprint(raw[x:y].tobytes(), fp_shingle) for x, y in zip(off[:-1], off[1:])], np.uint64).view(np.int64))
             marks, sizes, least, keys = [], [], [], []
             for s in shingle_sets(b.column(2), shingle):
                 order = np.argsort(levels[s.astype(np.int64) & (SLOTS - 1)], kind="stable")
@@ -182,8 +184,8 @@ def _prefixes(levels: np.ndarray, shingle: int, similarity: float):
                 sizes.append(len(s))
                 least.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32))
                 keys.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]])
-            columns = [b.column(0), b.column(1), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), lists(least, np.int32), lists(keys, np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "mark", "n", "sketch", "prefix"])
+            columns = [b.column(0), b.column(1), fps, pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), lists(least, np.int32), lists(keys, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "fp", "mark", "n", "sketch", "prefix"])
 
     return run
 
@@ -206,12 +208,29 @@ def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(t, F.lit(b""))).alias("h"), t.alias("t"))
 
 
-def _grouped(d: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _by_fingerprint(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """(u, v): nodes of equal sets (marks: mark, rep; rows: mark, fp), so linked that those whose rows are one group of groups() are connected.
+
+    Rows of one fingerprint are linked to the least node of them, these by multi-index hashing as in groups().
+    """
+    own = cut(rows.select("mark", "fp").distinct().join(marks.select("mark", "rep"), "mark").select("fp", "rep"), "own")
+    heads = cut(own.groupBy("fp").agg(F.min("rep").alias("head")), "heads")
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    equal = own.join(heads, "fp").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    near = linked(heads.select("fp"), heads.count()).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    links = cut(equal.unionByName(near.where("u <> v")).distinct(), "fp-links")
+    for done in (own, heads):
+        drop(done)
+    return links
+
+
+def _grouped(d: DataFrame, shingle: int, similarity: float, fp_shingle: int) -> DataFrame:
     """(id, h, first) for the rows of _known(): ``first`` is the least struct (id, h) of the row's group. See near_copies()."""
     kind = d.schema["id"].dataType.simpleString()
-    prefixes = d.mapInArrow(_prefixes(_levels(d, shingle), shingle, similarity), f"id {kind}, h long, mark binary, n int, sketch array<int>, prefix array<long>")
+    prefixes = d.mapInArrow(_prefixes(_levels(d, shingle), shingle, similarity, fp_shingle), f"id {kind}, h long, fp long, mark binary, n int, sketch array<int>, prefix array<long>")
     rows = cut(prefixes.withColumn("node", F.monotonically_increasing_id()), "prefixes")
     marks = cut(rows.groupBy("mark").agg(F.min("node").alias("rep"), F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("copies")), "marks")
+    by_fp = _by_fingerprint(rows, marks)
     # Equal sets are one node. Rows whose set surely no other row has need no exchange.
     twice = marks.where("copies > 1").select("mark", "rep")
     maybe = id_filter(twice, "mark")
@@ -254,12 +273,17 @@ def _grouped(d: DataFrame, shingle: int, similarity: float) -> DataFrame:
         met = members.join(hub, "key").where((F.col("root") != F.col("hub.root")) & may_be(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
         return met.select(F.col("rep").alias("u"), F.col("n").alias("u_n"), F.col("hub.rep").alias("v"), F.col("hub.n").alias("v_n"))
 
-    everywhere = met.withColumn("root", F.col("rep"))
+    def with_roots(roots: DataFrame) -> DataFrame:
+        return cut(met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+
+    everywhere = with_roots(components(by_fp))  # what fingerprints link is compared no more
     links = verified(spokes(everywhere, everywhere))
+    drop(everywhere)
     n_met, found, before = met.count(), links.count(), math.inf
+    links = by_fp.unionByName(links)
     while True:
         roots = components(links)
-        now = cut(met.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+        now = with_roots(roots)
         parts = now.groupBy("key", "root").agg(F.count("*").alias("m"))
         main = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("total"), F.max("m").alias("most")).where("most < total")
         work = main.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0] or 0
@@ -283,14 +307,17 @@ def _grouped(d: DataFrame, shingle: int, similarity: float) -> DataFrame:
     group = rooted.groupBy("root").agg(F.min("first").alias("first"))
     named = rooted.select("mark", "root").join(group, "root").select("mark", "first")
     out = cut(rows.select("id", "h", "mark").join(named, "mark").select("id", "h", "first"), "grouped")
-    for done in (rows, marks, full, met, few, rooted):
+    for done in (rows, marks, by_fp, full, met, few, rooted):
         drop(done)
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): groups of texts linked by a similarity of their distinct ``shingle``-word shingles of ``similarity`` or more.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fp_shingle: int = 3) -> DataFrame:
+    """(id, component_id): groups of texts linked by their fingerprints or by a similarity of their distinct ``shingle``-word shingles of
+    ``similarity`` or more.
 
+    First the groups of groups(): fingerprints over ``fp_shingle`` words, those at 2 or fewer differing bits found by multi-index hashing. As
+    similar texts can differ in more bits than any index can enumerate, the links between these groups are then completed on the shingles.
     Exact, whatever the number of texts. In any order of all shingles, two sets that similar have one in common among the
     first (1 - similarity) of each, so every text is entered under those, in order of rarity. Of the texts that meet under a
     key, and that have enough of their shingles after it, first all are compared with the one that meets the most others, which
@@ -299,16 +326,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and empty texts are alike. Rows that share an id are compared each by its own text, and have a row here each; component_id
     is the smallest id of a group. Null ids are dropped; an empty table gives no rows.
     """
-    return _grouped(_known(docs, id_col, text_col), shingle, similarity).select("id", F.col("first.id").alias("component_id"))
+    return _grouped(_known(docs, id_col, text_col), shingle, similarity, fp_shingle).select("id", F.col("first.id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fp_shingle: int = 3) -> DataFrame:
     """docs with one row of each group of near_copies(): that of the smallest id (and, of one id's texts, of the least hash; of equal rows, one).
 
     Rows with a null id are compared with nothing and stay. Only rows that may be affected go through an exchange.
     """
     d = _known(docs, id_col, text_col)
-    rows = _grouped(d, shingle, similarity)
+    rows = _grouped(d, shingle, similarity, fp_shingle)
     stays = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
     gone = cut(rows.where(~stays).select("id", "h").distinct(), "gone")
     again = rows.where(stays).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h")
