@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,26 @@ def test_overlaps(spark, docs, awkward, empty):
     assert decontam.overlaps(awkward, one).count() == 0 and decontam.overlaps(empty, one).count() == 0 and decontam.overlaps(df, one.where("false")).count() == 0
 
 
+def test_pipeline_batches(spark):
+    """Stages hand texts to Python in batches of at most 512 rows; what the caller set lower stays."""
+    import corpus_pipeline as C
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def run(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int32())}) for b in batches)
+
+    try:
+        for own, most in ((10_000, 512), (0, 512), (100, 100)):
+            spark.conf.set(key, own)
+            C.encode(spark, spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), SF)
+            sizes = [r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(run, "n int").collect()]
+            assert sum(sizes) == 3000 and max(sizes) == most
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.store import cut, drop, id_filter
-from tidegrid.llm.tokens import mix, split_words
+from tidegrid.llm.tokens import keep_only, mix, split_words
 
 #: Token positions that count (1) and that are ignored (0). An aligned stretch of 13 words or more of which 80 % are equal has
 #: four equal words in a row, or else all its equal words in runs of three between single others, so one of these masks
@@ -31,6 +31,7 @@ def _seed_rows(masks: tuple[str, ...], table: np.ndarray | None, short: dict[int
     small = {m: n for n, ms in short.items() for m in ms if m not in masks}
 
     def run(batches):
+        keep_only("decontam", lambda: None)
         for b in batches:
             ids = b.column(0)
             for w in split_words(b.column(1), lower=False, alnum=True):

@@ -33,6 +33,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """From now on the session hands rows to Python in batches of at most ``rows``, no more than the operators work on at a time.
+
+    Spark's 10,000 texts a batch are tens of MB for each task in the executor's direct memory, and as much in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def drop(df: DataFrame) -> None:
     """Removes a table made by cut() that nothing reads any more."""
     path = getattr(df, "_tidegrid_path", None)

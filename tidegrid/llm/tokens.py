@@ -6,6 +6,7 @@ byte offsets of one contiguous buffer, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +31,17 @@ _HELD: dict[str, object] = {}
 
 
 def keep_only(owner: str, clear) -> None:
-    """What a worker process remembers between tasks, kept for one operator at a time: another's memo tables are cleared first."""
-    for other in [k for k in _HELD if k != owner]:
+    """What a worker process remembers between tasks, kept for one operator at a time: another's memo tables are cleared first,
+    and what the allocators hold of them goes back to the system."""
+    others = [k for k in _HELD if k != owner]
+    for other in others:
         _HELD.pop(other)()
     _HELD[owner] = clear
+    if others:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
